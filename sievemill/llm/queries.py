@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
 from .minhash import near_duplicates
+from .mixing import mix
+from .packing import pack
 from .shared import read_table
+from .token_counts import count_tokens
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -17,6 +20,67 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read_table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:15])::BIGINT AS h
+  FROM documents
+), per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM per
+), weighed AS (
+  SELECT *, [3, 1, 2][(rank - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM ranked
+), levelled AS (
+  SELECT *, CAST(cap AS DOUBLE) / weight AS ratio,
+         (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - CAST(coalesce(sum(cap) OVER b, 0) AS DOUBLE))
+         / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
+  FROM weighed
+  WINDOW b AS (ORDER BY CAST(cap AS DOUBLE) / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), final AS (
+  SELECT arg_min(level, [ratio, rank]) AS final FROM levelled WHERE ratio > level
+), targets AS (
+  SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), final * weight), CAST(cap AS DOUBLE)) AS target
+  FROM levelled CROSS JOIN final
+), split AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM targets
+), cells AS (
+  SELECT source, h, sum(size) AS words FROM sized GROUP BY source, h
+), summed AS (
+  SELECT source, h, words, sum(words) OVER (PARTITION BY source ORDER BY h) AS upto FROM cells
+), picked AS (
+  SELECT s.source, s.h,
+         (s.upto <= t.target - t.passes * t.source_size)
+         OR (s.upto - s.words < t.target - t.passes * t.source_size
+             AND t.target - t.passes * t.source_size - (s.upto - s.words) >= s.words - (t.target - t.passes * t.source_size - (s.upto - s.words))) AS more
+  FROM summed s JOIN split t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT d.doc_id, d.size, t.source_size, t.target,
+       CAST((t.passes + CAST(p.more AND t.target > t.passes * t.source_size AS INT)) * d.size AS BIGINT) AS taken
+FROM sized d
+JOIN split t ON d.source IS NOT DISTINCT FROM t.source
+JOIN picked p ON d.source IS NOT DISTINCT FROM p.source AND d.h = p.h
+"""
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -29,9 +93,13 @@ WINDOW w AS (PARTITION BY norm)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_counts": op4_token_counts,
+    "op5_packing": op5_packing,
+    "op6_source_mixing": op6_source_mixing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op6_source_mixing": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

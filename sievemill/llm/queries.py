@@ -12,6 +12,8 @@ from .mixing import mix
 from .packing import pack
 from .shared import read_table
 from .token_counts import count_tokens
+from .transport_stream import media_features, stored_payloads
+from .url_filters import Rule, judge_urls
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -26,6 +28,73 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+URL_RULES = [
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE rules(host, path, own) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), urls AS (
+  SELECT DISTINCT url FROM pages
+  UNION
+  SELECT regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages WHERE html ILIKE '%canonical%'
+  UNION
+  SELECT regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM pages WHERE html ILIKE '%http-equiv%'
+), parts AS (
+  SELECT url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+         array_to_string(list_filter(string_split(regexp_extract(url, '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+           lambda f: f <> '' AND NOT regexp_matches(f, '^(utm_[A-Za-z]+|gclid|fbclid|ref)(=|$)')), '&') AS query
+  FROM urls
+), named AS (
+  SELECT url, host, path, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS node
+  FROM parts
+), fits AS (
+  SELECT n.url, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.own, length(r.host || r.path)) AS own
+  FROM named n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)
+  GROUP BY n.url
+), declared AS (
+  SELECT p.url, unnest([
+    regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
+  FROM pages p WHERE html ILIKE '%canonical%' OR html ILIKE '%http-equiv%'
+), edges AS (
+  SELECT a.node AS a, b.node AS b FROM declared d JOIN named a ON a.url = d.url JOIN named b ON b.url = d.target WHERE d.target <> '' AND a.node <> b.node
+), reach(node, other) AS (
+  SELECT a, b FROM (SELECT a, b FROM edges UNION SELECT b, a FROM edges)
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN (SELECT a, b FROM edges UNION SELECT b, a FROM edges) e ON r.other = e.a
+), grouped AS (
+  SELECT n.url, coalesce(least(n.node, min(r.other)), n.node) AS component FROM named n LEFT JOIN reach r ON r.node = n.node GROUP BY n.url, n.node
+), heard AS (
+  SELECT g.component, bool_or(f.own = 'allow') AS allowed, bool_or(f.own = 'block') AS blocked
+  FROM grouped g JOIN fits f ON f.url = g.url WHERE g.component IS NOT NULL AND g.url IN (SELECT url FROM pages) GROUP BY g.component
+)
+SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, f.rule AS rule,
+       coalesce(f.own, CASE WHEN h.allowed THEN 'allow' WHEN h.blocked THEN 'block' END, 'allow') AS verdict
+FROM pages p
+LEFT JOIN named n ON n.url = p.url
+LEFT JOIN fits f ON f.url = p.url
+LEFT JOIN grouped g ON g.url = p.url
+LEFT JOIN heard h ON h.component = g.component
+"""
+
+
+def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(stored_payloads(read_table(spark, sf_dir, "documents")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -93,6 +162,8 @@ WINDOW w AS (PARTITION BY norm)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op2_transport_streams": op2_transport_streams,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_source_mixing": op6_source_mixing,
@@ -100,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op1_url_filters": OP1_SQL,
     "op6_source_mixing": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

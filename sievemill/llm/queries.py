@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .language_id import identify, identify_documents, of_pages
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
@@ -95,6 +96,14 @@ def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored_payloads(read_table(spark, sf_dir, "documents")))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(read_table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(of_pages(read_table(spark, sf_dir, "pages"))).withColumnRenamed("id", "page_id")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -164,6 +173,8 @@ WINDOW w AS (PARTITION BY norm)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_transport_streams": op2_transport_streams,
+    "op3_language_id": op3_language_id,
+    "language_id_pages": language_id_pages,
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_source_mixing": op6_source_mixing,

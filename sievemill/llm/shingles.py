@@ -18,6 +18,9 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
 _PLACE = _random.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Separators for words of letters and digits: all other ASCII. Bytes of other characters are letters.
+LETTERS = np.zeros(256, bool)
+LETTERS[:128] = [not chr(b).isalnum() for b in range(128)]
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Bytes hashed at a time; a longer word makes its own piece longer.
@@ -41,10 +44,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the n + 1 offsets of the documents' words among them."""
     n = len(raw)
-    solid = ~_SPACE[raw]
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    solid = ~space[raw]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     starts = solid.copy()
@@ -65,6 +70,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, np.searchsorted(start, offsets)
 
 
+def place_mix(hashes: np.ndarray, whole: int, words: int = SHINGLE) -> np.ndarray:
+    """Hashes of the first ``whole`` runs of ``words`` words."""
+    every = np.zeros(whole, np.uint64)
+    for k in range(words):
+        every += hashes[k : k + whole] * _PLACE[k]
+    return mix(every)
+
+
 def shingle_sets(column: pa.Array, words: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text. Fewer words than ``words``: the sequence is one; none or null: empty."""
     raw, offsets = text_bytes(column)
@@ -72,10 +85,7 @@ def shingle_sets(column: pa.Array, words: int = SHINGLE) -> list[np.ndarray]:
         return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
     hashes, at = word_hashes(raw, offsets)
     whole = max(0, len(hashes) - words + 1)
-    every = np.zeros(whole, np.uint64)
-    for k in range(words):
-        every += hashes[k : k + whole] * _PLACE[k]
-    every = mix(every)
+    every = place_mix(hashes, whole, words)
     found = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= words:

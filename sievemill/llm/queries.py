@@ -14,6 +14,7 @@ from .mixing import mix
 from .packing import pack
 from .shared import read_table
 from .token_counts import count_tokens
+from .toxicity import classify
 from .transport_stream import media_features, stored_payloads
 from .url_filters import Rule, judge_urls
 
@@ -160,6 +161,10 @@ JOIN picked p ON d.source IS NOT DISTINCT FROM p.source AND d.h = p.h
 """
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
@@ -183,6 +188,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
     "op6_source_mixing": op6_source_mixing,
+    "op7_toxicity_chain": op7_toxicity_chain,
     "op8_license_scan": op8_license_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import _slices
-from .shared import text_bytes
+from .shared import arrow_map, text_bytes
 from .shingles import LETTERS, SHINGLE, mix, place_mix, word_hashes
 
 BANDS = 24
@@ -161,4 +161,4 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_
                 )
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_licenses long, licenses string, places array<long>, contained array<double>")
+    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_licenses long, licenses string, places array<long>, contained array<double>")

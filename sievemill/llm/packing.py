@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import _slices
-from .shared import stored
+from .shared import arrow_map, stored
 from .token_counts import LONG, REMEMBER, byte_alphabet
 
 LENGTH = 2048
@@ -153,7 +153,7 @@ def tokenized(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert_key(cells)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, ids binary")
+    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, ids binary")
 
 
 _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -222,4 +222,4 @@ def pack(docs: DataFrame, vocab_path: str, length: int = LENGTH, id_col: str = "
     ids = stored(tokenized(docs, vocab_path, id_col, text_col), "tokens")
     kind = ids.schema["doc_id"].dataType.simpleString()
     ranged = ids.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
-    return ranged.mapInArrow(_pack(length), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _PIECES[1:]))
+    return arrow_map(ranged, _pack(length), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _PIECES[1:]))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import _slices
-from .shared import text_bytes
+from .shared import arrow_map, text_bytes
 
 LIMIT = 2048
 #: Words remembered per generation and worker; longer words than LONG aren't remembered.
@@ -126,4 +126,4 @@ def count_tokens(docs: DataFrame, vocab_path: str, limit: int = LIMIT, id_col: s
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(rows, run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

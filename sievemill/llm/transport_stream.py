@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import _slices
+from .shared import arrow_map
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -241,7 +242,7 @@ def access_units(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], ["id", "unit", "pid", "stream_type", "pts", "dts", "random_access", "data"])
 
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, unit long, pid int, stream_type int, pts long, dts long, random_access boolean, data binary")
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, unit long, pid int, stream_type int, pts long, dts long, random_access boolean, data binary")
 
 
 def stored_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,7 +258,7 @@ def stored_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -287,4 +288,4 @@ def media_features(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

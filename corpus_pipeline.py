@@ -1,18 +1,56 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Language identification, exact duplicates, near duplicates, mixing to target weights, packing. Every
+stage takes all rows its predecessor left; the last returns pieces of sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemill.llm.exact_dedup import deduplicate
+from sievemill.llm.language_id import keep_identified
+from sievemill.llm.minhash import drop_near_duplicates
+from sievemill.llm.mixing import mixed_documents
+from sievemill.llm.packing import pack
+from sievemill.llm.queries import vocabulary
 from sievemill.llm.shared import read_table, stored
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts whose language is unknown go."""
+    return keep_identified(docs)
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for the case of A-Z, the one with the largest id stays."""
     return deduplicate(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates and what they link, the one with the smallest id stays."""
+    return drop_near_duplicates(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document is there as often as the mix takes it: none, once or twice."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces in sequences along the space-filling curve; a repeated document is packed each time."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mixing", source_mixing),
+    ("packing", packing),
+]
+
+#: The language model, the similarity components and the packing order aren't expressed in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -49,6 +49,6 @@ def synced(source: DataFrame, target: DataFrame, key: str, value: str, backup_pa
 
 def repath(rows: DataFrame, column: str, old_root: str, new_root: str) -> DataFrame:
     """Paths below ``old_root`` moved below ``new_root``; other paths stay, also those that only begin alike."""
-    path = F.col(column)
-    inside = (path == old_root) | path.startswith(old_root.rstrip("/") + "/")
-    return rows.withColumn(column, F.when(inside, F.concat(F.lit(new_root.rstrip("/")), F.substr(path, F.lit(len(old_root.rstrip("/")) + 1)))).otherwise(path))
+    path, root = F.col(column), old_root.rstrip("/")
+    inside = (path == root) | path.startswith(root + "/")
+    return rows.withColumn(column, F.when(inside, F.concat(F.lit(new_root.rstrip("/")), F.substr(path, F.lit(len(root) + 1)))).otherwise(path))

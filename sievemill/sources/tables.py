@@ -37,9 +37,9 @@ def download_input(info: DataFrame, case_name: str | None = None) -> DataFrame:
 
 
 def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder: ``path, length, modified, header, valid``; valid: not empty, and begins as a PDF does.
+    """Files below a folder: ``path, length, modified, header, valid``; valid: it begins as a PDF does.
 
-    Only names and sizes of other columns' readers are pruned by Spark; the bytes are read for the header.
+    Spark's file reader doesn't list files without any bytes: those count as not fetched.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     header = F.substring(F.col("content"), 1, 5)

@@ -44,11 +44,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the n + 1 offsets of the documents' words among them."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of every word; no word runs from one document into the next."""
     n = len(raw)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     solid = ~space[raw]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
@@ -56,7 +54,23 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE
     starts[1:] &= ~solid[:-1] | first[1:n]
     ends = solid.copy()
     ends[:-1] &= ~solid[1:] | first[1:n]
-    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def prefix_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first ``length`` bytes of the words that are longer, and the numbers of those words."""
+    longer = np.flatnonzero(end - start > length)
+    out = np.full(len(longer), length, np.uint64)
+    for k in range(length):
+        out = (out + _BYTE[raw[start[longer] + k]]) * np.uint64(_BASE)
+    return mix(out), longer
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and the n + 1 offsets of the documents' words among them."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    start, end = word_spans(raw, offsets, space)
     out = np.empty(len(start), np.uint64)
     i = 0
     while i < len(start):

@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     mark = None
     for _ in range(max_rounds):
         # A node under two roots, or a root that hangs itself: then there is work left.
-        seen = (now.count(), now.select(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()[0])
+        seen = tuple(now.select(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == mark or not seen[0]:
             return now.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         mark = seen

@@ -6,9 +6,10 @@
    member is a candidate for a link with its leader: as many pairs as members, never all of them.
 3. Candidates are estimated from their signatures by bit counts, corrected for bits that agree by
    chance, and confirmed on their full sets.
-4. What the leaders' links leave in different components of one bucket is compared block by block on
-   signatures alone, and only pairs that may be links leave a block: the best few of each row, then
-   more of them as long as a row had more than that.
+4. What the leaders' links leave in different components of one bucket is compared in blocks. A first
+   pass over signatures and set sizes only says which members of a block may have a partner there; a
+   second one takes the texts of those, counts shared shingles for all pairs of the block at once, and
+   gives just enough links to join the components. No pair leaves a block unconfirmed.
 
 Four minima meet in one of 32 bands with probability 1 - (1 - s^4)^32: 0.999995 at s = 0.75.
 The estimate's cut is so low that it drops a pair of similarity 0.75 once in 10^9.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import stored
+from .shared import arrow_map, stored
 from .shingles import mix, overlap, shingle_sets
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -33,10 +34,10 @@ MINIMA = BANDS * ROWS
 PERCENT = 75
 #: Members that are compared with one copy of their leader's text.
 GROUP = 128
-#: Classes in a block of signatures.
-BLOCK = 512
-#: Pairs that a row of a block gives at first.
-BEST = 4
+#: Shingles in one side of a block, and the members at which a component has blocks of its own.
+BLOCK, OWN = 1 << 17, 256
+#: Ids, of eight bytes each, up to which their table is broadcast.
+BROADCAST_IDS = 1_000_000
 #: Rows of texts a worker holds at a time, by bytes.
 SLICE = 4 << 20
 
@@ -119,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Set size, set name, band keys and packed signature of every text."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_sign, _SIGNED)
+    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _sign, _SIGNED)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,44 +154,121 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
     )
     rows = wanted.join(texts, "doc_id").select("a", "salt", "member", "text")
     grouped = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("member").asc_nulls_first())
-    compared = grouped.mapInArrow(_compare, "a long, b long, shared long, either long")
+    compared = arrow_map(grouped, _compare, "a long, b long, shared long, either long")
     return compared.where(F.col("shared") * 100 >= F.col("either") * percent).select("a", "b")
 
 
-def _blocks(most: int, cut: int):
-    """Compares the two sides of every block on signatures; the best ``most`` partners of each row leave it."""
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, given rows sorted by their first column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        if not len(block):
+            continue
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        if held and held[-1].column(0)[0].as_py() != block[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            held.append(batch.slice(i, j - i))
+            if j < len(block):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a block's two sides; a block without a second side meets itself."""
+    side = rows.column("side").to_numpy()
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    return left, right if len(right) else left
+
+
+def _possible(rows: pa.Table, left: np.ndarray, right: np.ndarray, cut: int, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of the left side, those of the right that may be linked with it, in another component."""
+    sig = rows.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(rows.num_rows, -1)
+    comp, n = rows.column("comp").to_numpy(), rows.column("n").to_numpy()
+    odd, sig_r, comp_r, n_r = np.uint64(0x5555555555555555), sig[right], comp[right], n[right]
+    for i in left.tolist():
+        near = np.flatnonzero((comp_r != comp[i]) & (np.minimum(n_r, n[i]) * 100 >= np.maximum(n_r, n[i]) * percent))
+        if len(near):
+            x = sig_r[near] ^ sig[i]
+            same = MINIMA - np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1, dtype=np.int64)
+            near = near[same >= cut]
+            if len(near):
+                yield i, right[near]
+
+
+def _with_partner(cut: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_block(batches):
+            some = np.zeros(rows.num_rows, bool)
+            for i, near in _possible(rows, *_sides(rows), cut, percent):
+                some[i] = True
+                some[near] = True
+            if some.any():
+                yield pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().filter(pa.array(some)) for c in ("block", "side", "doc_id")], ["block", "side", "doc_id"])
+
+    return run
 
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 1024) -> np.ndarray:
+    """Sizes of the intersections of all sets of one side with all of the other."""
+    flat = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (left, right)]
+    both = np.intersect1d(*flat)
+    shared = np.zeros((len(left), len(right)), np.float32)
+    placed = []
+    for sets, all_of in zip((left, right), flat):
+        at = np.searchsorted(both, all_of)
+        at[at == len(both)] = 0
+        hit = both[at] == all_of if len(both) else np.zeros(len(all_of), bool)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        placed.append((row[order], at[hit][order]))
+    for first in range(0, len(both), columns):
+        slabs = []
+        for (row, column), sets in zip(placed, (left, right)):
+            a, b = np.searchsorted(column, [first, first + columns])
+            slab = np.zeros((len(sets), columns), np.float32)
+            slab[row[a:b], column[a:b] - first] = 1
+            slabs.append(slab)
+        shared += slabs[0] @ slabs[1].T
+    return shared
+
+
+def _links(cut: int, percent: int, slab: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odd = np.uint64(0x5555555555555555)
-
-        def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            sides = [[r for r in rows if r[1] == k] for k in (0, 1)]
-            left, right = sides[0], sides[1] or sides[0]
-            out: tuple[list, list, list] = ([], [], [])
-            r_id, r_comp = (np.array([r[k] for r in right], np.int64) for k in (2, 3))
-            r_sig = np.array([r[4] for r in right], np.int64).view(np.uint64)
-            for _, _, doc, comp, sig in left:
-                x = r_sig ^ np.array(sig, np.int64).view(np.uint64)
-                same = MINIMA - np.bitwise_count((x | (x >> np.uint64(1))) & odd).sum(axis=1, dtype=np.int64)
-                at = np.flatnonzero((same >= cut) & (r_comp != comp))
-                more = len(at) > most
-                if more:
-                    at = at[np.argsort(-same[at], kind="stable")[:most]]
-                for k in at.tolist():
-                    for column, v in zip(out, (doc, int(r_id[k]), more)):
-                        column.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_())], ["x", "y", "more"])
-
-        block, rows = None, []
-        for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
-                if r[0] != block:
-                    if rows:
-                        yield pairs(rows)
-                    block, rows = r[0], []
-                rows.append(r)
-        if rows:
-            yield pairs(rows)
+        for rows in _by_block(batches):
+            near = dict(_possible(rows, *_sides(rows), cut, percent))
+            if not near:
+                continue
+            sets = shingle_sets(rows.column("text").combine_chunks())
+            size = np.array([len(s) for s in sets])
+            comp, doc = rows.column("comp").to_pylist(), rows.column("doc_id").to_pylist()
+            up: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while c in up:
+                    c = up[c]
+                return c
+
+            found: list[tuple[int, int]] = []
+            left, right = list(near), np.unique(np.concatenate(list(near.values())))
+            for first in range(0, len(left), slab):
+                some = left[first : first + slab]
+                if sum(len(near[i]) for i in some) > 16:
+                    shared = shared_counts([sets[i] for i in some], [sets[k] for k in right])
+                    counts = [shared[j, np.searchsorted(right, near[i])] for j, i in enumerate(some)]
+                else:
+                    counts = [np.array([overlap(sets[i], sets[k]) for k in near[i]]) for i in some]
+                for i, n in zip(some, counts):
+                    for k in near[i][n * 100 >= (size[i] + size[near[i]] - n) * percent].tolist():
+                        x, y = root(comp[i]), root(comp[k])
+                        if x != y:
+                            up[max(x, y)] = min(x, y)
+                            found.append((doc[i], doc[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -202,28 +280,37 @@ def _left_over(members: DataFrame, component: DataFrame) -> DataFrame:
     return now.join(split, "bucket", "left_semi").select("bucket", "doc_id", "comp")
 
 
-def _block_pairs(rest: DataFrame, sig: DataFrame, most: int, cut: int) -> DataFrame:
-    """Pairs between components that share a bucket, from blocks of signatures.
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """One text for each id. So few ids that their table is small go to every task; more are joined by shuffle."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def _in_blocks(rest: DataFrame, sketch: DataFrame) -> DataFrame:
+    """``block, side, doc_id, comp, n, sig``: every two members of a bucket in different components meet in a block.
 
-    A component with many members of a bucket has blocks of its own there, and those aren't compared
-    with each other; the others share blocks.
+    A component with many members of a bucket has parts of its own there, and those aren't held
+    against each other; the others share parts. The size of a part is bounded in shingles.
     """
-    sizes = rest.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-    pooled = sizes.withColumn("own", F.when(F.col("n") >= BLOCK // 2, F.col("comp")))
-    pools = pooled.groupBy("bucket", "own").agg(F.sum("n").alias("m")).withColumn("parts", F.ceil(F.col("m") / BLOCK))
-    named = rest.join(pooled.select("bucket", "comp", "own"), ["bucket", "comp"])
-    parts = pools.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"))
-    parts = parts.withColumn("name", F.xxhash64(F.coalesce("own", F.lit(-1)), F.col("own").isNull(), F.col("part")))
-    met = parts.alias("p").join(parts.alias("q"), F.expr("p.bucket = q.bucket AND p.name <= q.name AND (p.own IS NULL OR NOT p.own <=> q.own)"))
-    met = met.select(F.col("p.bucket").alias("bucket"), F.col("p.name").alias("p"), F.col("q.name").alias("q"))
-    placed = named.join(pools.select("bucket", "own", "parts").withColumnsRenamed({"bucket": "b2", "own": "o2"}), F.expr("bucket = b2 AND own <=> o2"))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    placed = placed.withColumn("name", F.xxhash64(F.coalesce("own", F.lit(-1)), F.col("own").isNull(), F.col("part"))).select("bucket", "name", "doc_id", "comp")
-    sides = placed.join(met.select("bucket", F.col("p").alias("name"), "p", "q", F.lit(0).alias("side")), ["bucket", "name"]).unionByName(
-        placed.join(met.where("p <> q").select("bucket", F.col("q").alias("name"), "p", "q", F.lit(1).alias("side")), ["bucket", "name"])
+    rows = rest.join(sketch, "doc_id")
+    own = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w")).withColumn("own", F.when(F.col("k") >= OWN, F.col("comp")))
+    own = stored(own, "owners")
+    pools = own.groupBy("bucket", "own").agg(F.sum("w").alias("w")).withColumn("parts", F.ceil(F.col("w") / BLOCK).cast("int"))
+
+    def name(part):
+        return F.xxhash64(F.coalesce("own", F.lit(-1).cast("long")), F.col("own").isNull(), part)
+
+    parts = pools.select("bucket", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("part_name", name(F.col("part")))
+    met = parts.alias("p").join(parts.alias("q"), F.expr("p.bucket = q.bucket AND p.part_name <= q.part_name AND (p.own IS NULL OR NOT p.own <=> q.own)"))
+    met = met.select(F.col("p.bucket").alias("bucket"), F.col("p.part_name").alias("p"), F.col("q.part_name").alias("q"))
+    met = stored(met.withColumn("block", F.xxhash64("bucket", "p", "q")), "meetings")
+    of = own.select("bucket", "comp", "own").join(pools.select("bucket", F.col("own").alias("own_"), "parts").withColumnRenamed("bucket", "bucket_"), F.expr("bucket = bucket_ AND own <=> own_"))
+    placed = rows.join(of.select("bucket", "comp", "own", "parts"), ["bucket", "comp"])
+    placed = placed.withColumn("part_name", name(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))).drop("own", "parts")
+    ends = met.select("bucket", F.col("p").alias("part_name"), "block", F.lit(0).alias("side")).unionByName(
+        met.where("p <> q").select("bucket", F.col("q").alias("part_name"), "block", F.lit(1).alias("side"))
     )
-    rows = sides.join(sig, "doc_id").select(F.xxhash64("bucket", "p", "q").alias("block"), "side", "doc_id", "comp", "sig")
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_blocks(most, cut), "x long, y long, more boolean")
+    return placed.join(ends, ["bucket", "part_name"]).select("block", "side", "doc_id", "comp", "n", "sig")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -246,32 +333,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
     buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("bucket", "leader")
     members = stored(banded.join(buckets, "bucket").distinct(), "buckets")
-    sketch = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sig").dropDuplicates(["doc_id"])
+    sketch = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["doc_id"])
     sketch = stored(sketch, "sketches")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = stored(_texts_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), sketch.select("doc_id")), "texts")
 
     led = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    close = led.join(sketch.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    tried = stored(close.where(matches(F.col("sa"), F.col("sb")) >= cut).select("a", "b"), "candidates")
-    links = stored(confirmed(tried, texts, percent), "links")
+    ends = [sketch.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}")) for x in ("a", "b")]
+    close = led.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    links = stored(confirmed(close.where(matches(F.col("s_a"), F.col("s_b")) >= cut).select("a", "b"), texts, percent), "links")
     component = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
 
-    most = BEST
-    while True:
-        rest = stored(_left_over(members, component), "rest")
-        if rest.isEmpty():
-            break
-        found = stored(_block_pairs(rest, sketch, most, cut), "found")
-        new = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new = stored(new.join(tried, ["a", "b"], "left_anti"), "new")
-        more = not found.where("more").isEmpty()
-        if not new.isEmpty():
-            tried = tried.unionByName(new)
-            links = links.unionByName(stored(confirmed(new, texts, percent), "links"))
+    rest = stored(_left_over(members, component), "rest")
+    if not rest.isEmpty():
+        blocks = stored(_in_blocks(rest, sketch), "blocks")
+        grouped = blocks.repartition("block").sortWithinPartitions("block")
+        partners = stored(arrow_map(grouped, _with_partner(cut, percent), "block long, side int, doc_id long"), "partners")
+        if not partners.isEmpty():
+            full = blocks.join(partners, ["block", "side", "doc_id"]).join(texts, "doc_id").select("block", "side", "doc_id", "comp", "n", "sig", "text")
+            more = arrow_map(full.repartition("block").sortWithinPartitions("block"), _links(cut, percent), "a long, b long")
+            links = links.unionByName(stored(more, "links"))
             component = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
-        if not more:
-            break
-        most *= 4
 
     by_set = copies.join(component, copies.rep == component.doc_id, "left").select("set_hi", "set_lo", F.coalesce("comp", "rep").alias("c1"))
     narrow = sig.select("doc_id", "n_shingles", "set_hi", "set_lo")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .minhash import _slices
 from .shared import arrow_map, stored
-from .token_counts import LONG, REMEMBER, byte_alphabet
+from .token_counts import byte_alphabet
 
 LENGTH = 2048
 END = 1
@@ -60,17 +60,16 @@ def hilbert_key(cells: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return key
 
 
-class TokenIds(dict):
-    """Little-endian 16-bit ids by word with a space before it, remembered in two bounded generations.
+class TokenIds:
+    """Token ids of a byte-level vocabulary file of the tokenizers library.
 
-    The merges run in tiktoken on the same vocabulary, which is several times faster than the library
-    it belongs to; the tests hold both against each other.
+    The merges run in tiktoken on the same vocabulary, several times faster than in the library the file
+    belongs to; the tests hold both against each other. Special strings in a text give their own ids.
     """
 
     def __init__(self, vocab_path: str):
         import tiktoken
 
-        super().__init__()
         with open(vocab_path, encoding="utf-8") as f:
             read = json.load(f)
         alphabet = byte_alphabet()
@@ -78,54 +77,10 @@ class TokenIds(dict):
         ranks = {bytes(alphabet[c] for c in k): v for k, v in read["model"]["vocab"].items() if k not in special}
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         assert self.coder.n_vocab <= 2**16
-        self.older: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return np.array(self.coder.encode(text, allowed_special="all"), "<u2").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = self.encode(" " + word)
-        if len(word) <= LONG:
-            if len(self) >= REMEMBER:
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
 
     def ids(self, text: str) -> bytes:
-        """Ids of a whole text.
-
-        A single space between two words goes with the second one, and a single line feed between two
-        words is a token of its own, so a text in which all white space is such can be cut there.
-        """
-        words = text.split()
-        spaces, lines = text.count(" "), text.count("\n")
-        if not words or spaces + lines != len(words) - 1 or sum(map(len, words)) + spaces + lines != len(text):
-            return self.encode(text)
-        parts = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            parts.append(self.encode(first) if not rest or len(first) > LONG else self.first(first))
-            parts.append(b"".join(map(self.__getitem__, rest)))
-            parts.append(self.feed)
-        return b"".join(parts[:-1])
-
-    def first(self, word: str) -> bytes:
-        """Ids of a word without a space before it, remembered under a key that no word has."""
-        key = "\n" + word
-        ids = self.get(key)
-        if ids is None:
-            ids = self[key] = self.encode(word)
-        return ids
-
-    @property
-    def feed(self) -> bytes:
-        ids = self.get("\n\n")
-        if ids is None:
-            ids = self["\n\n"] = self.encode("\n")
-        return ids
+        """Little-endian 16-bit ids."""
+        return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u2").tobytes()
 
 
 _coders: dict[str, TokenIds] = {}

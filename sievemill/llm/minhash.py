@@ -39,7 +39,7 @@ BLOCK, OWN = 1 << 17, 256
 #: Ids, of eight bytes each, up to which their table is broadcast.
 BROADCAST_IDS = 1_000_000
 #: Rows of texts a worker holds at a time, by bytes.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(1, 2**31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SIGNED = "doc_id long, n_shingles long, set_hi long, set_lo long, bands array<long>, sig array<long>"

@@ -26,7 +26,7 @@ BITS = 18
 #: Bytes of the beginnings of longer words, which inflected forms share.
 STEMS = (4, 5, 6)
 #: About so many labelled texts fit the models.
-SAMPLE = 20_000
+SAMPLE = 10_000
 FOLDS, STEPS, PENALTY, SEEN, SIGMAS = 3, 150, 1e-5, 3, 4.0
 
 
@@ -132,20 +132,19 @@ class Chain:
 def fit_chain(cells: np.ndarray, at: np.ndarray, labels: np.ndarray, fold: np.ndarray, categories: Sequence[str]) -> Chain:
     """labels: one column a category, in the chain's order."""
     chain = Chain(list(categories), [], [], np.zeros((len(labels), 0)))
-    folds = [np.flatnonzero(fold == k) for k in range(FOLDS)]
-    sizes = np.diff(at)
+    # Cells of fewer than SEEN texts get no weight in any fit, so they go first.
+    often = (np.bincount(cells, minlength=1 << BITS) >= SEEN)[cells]
+    at = np.concatenate([[0], np.cumsum(often)])[at]
+    cells, sizes = cells[often], np.diff(at)
 
-    def rows(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mask = np.zeros(len(sizes), bool)
-        mask[which] = True
+    def rows(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return cells[np.repeat(mask, sizes)], np.concatenate([[0], np.cumsum(sizes[mask])])
 
-    parts = [(held, rest := np.setdiff1d(np.arange(len(labels)), held), rows(held), rows(rest)) for held in folds]
     for c in range(len(categories)):
         y, before = labels[:, c].astype(float), chain.out_of_fold
         unseen = np.zeros(len(y))
-        for held, rest, of_held, of_rest in parts:
-            unseen[held] = fit_linear(*of_rest, before[rest], y[rest]).log_odds(*of_held, before[held])
+        for held in (fold == k for k in range(FOLDS)):
+            unseen[held] = fit_linear(*rows(~held), before[~held], y[~held]).log_odds(*rows(held), before[held])
         chain.models.append(fit_linear(cells, at, before, y))
         chain.thresholds.append(best_threshold(probability(unseen), labels[:, c]))
         chain.out_of_fold = np.hstack([before, np.clip(unseen, -8, 8)[:, None]])
@@ -177,7 +176,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     rows = arrow_map(found, run, "doc_id long, cells array<int>, " + ", ".join(f"{y} int" for y in ys)).toArrow().sort_by("doc_id")
     lists = rows.column("cells").combine_chunks()
     at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) if len(lists) else np.zeros(1, np.int64)
-    cells = lists.flatten().to_numpy().astype(np.int64)
+    cells = lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int32)
     y = np.stack([rows.column(c).to_numpy() for c in ys], axis=1) if len(lists) else np.zeros((0, len(ys)))
     # Folds by a mix of the id, not by its place among the chosen.
     fold = ((rows.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % FOLDS

@@ -9,6 +9,7 @@ aggregation over all documents; only the trigram model is fitted on a bounded sa
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,9 @@ EVIDENCE = 40.0
 #: Weight of the wider level in the counts of the narrower one.
 SMOOTHING = 10.0
 LEAST = 0.5
+#: A trigram of a text must be likelier by so much in its best language than among letters in any order;
+#: a short text's mean may fall below by SLACK over the root of its trigrams.
+FIT, SLACK = 1.0, 5.0
 
 _KIND = np.full(256, 32, np.uint8)
 _KIND[65:91] = np.arange(97, 123)
@@ -86,26 +90,45 @@ def trigram_model(texts: DataFrame, languages: Sequence[str] = LANGUAGES, sample
     return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * CELLS)).astype(np.float32)
 
 
+@cache
+def background() -> np.ndarray:
+    """Log probabilities by cell of trigrams whose bytes follow each other in any order, whatever the language."""
+    share = np.zeros(256)
+    share[32], share[97:123], share[128:] = 0.17, 0.77 / 26, 0.06 / 128
+    b = np.flatnonzero(share)
+    of = b.astype(np.uint32)
+    grams = of[:, None, None] << np.uint32(16) | of[None, :, None] << np.uint32(8) | of[None, None, :]
+    odds = share[b][:, None, None] * share[b][None, :, None] * share[b][None, None, :]
+    solid = np.broadcast_to((b != 32)[None, :, None], grams.shape)
+    total = np.bincount((grams[solid] * np.uint32(2654435761)) >> np.uint32(32 - 15), odds[solid], CELLS)
+    return np.log(total / total.sum() + 1e-12).astype(np.float32)
+
+
 def text_likelihoods(texts: DataFrame, model: np.ndarray, languages: Sequence[str] = LANGUAGES) -> DataFrame:
-    """``id, declared, host, site, suffix, grams`` and a log likelihood ``ll`` for each language, of whole texts."""
-    held = texts.sparkSession.sparkContext.broadcast(model)
+    """``id, declared, host, site, suffix, grams, fits`` and a log likelihood ``ll`` for each language, of whole texts.
+
+    fits: in the best language the text's trigrams are likelier than in no language, see `FIT`.
+    """
+    held = texts.sparkSession.sparkContext.broadcast((model, background()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
 
-        table = held.value
+        table, none = held.value
         for batch in batches:
             for part in _slices(batch, 1):
                 cells, owner = trigram_cells(part.column(1))
                 n = np.bincount(owner, minlength=part.num_rows).astype(np.int64)
                 ll = np.stack([np.bincount(owner, table[cells, k], part.num_rows) for k in range(table.shape[1])], axis=1).astype(float)
+                above = (ll.max(axis=1) - np.bincount(owner, none[cells], part.num_rows)) / np.maximum(n, 1)
+                fits = above + SLACK / np.sqrt(np.maximum(n, 1)) >= FIT
                 ll *= np.minimum(1.0, EVIDENCE / np.maximum(n, 1))[:, None]
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(ll.reshape(-1)), table.shape[1]).cast(pa.list_(pa.float64()))
                 others = [part.column(k) for k in range(2, part.num_columns)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *others, pa.array(n), lists], [part.schema.names[0], *part.schema.names[2:], "grams", "ll"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *others, pa.array(n), pa.array(fits), lists], [part.schema.names[0], *part.schema.names[2:], "grams", "fits", "ll"])
 
     rows = texts.select("id", "text", "declared", "host", "site", "suffix")
-    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, declared string, host string, site string, suffix string, grams long, ll array<double>")
+    return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, declared string, host string, site string, suffix string, grams long, fits boolean, ll array<double>")
 
 
 def _counts(rows: DataFrame, column: str, languages: Sequence[str]) -> DataFrame:
@@ -114,7 +137,7 @@ def _counts(rows: DataFrame, column: str, languages: Sequence[str]) -> DataFrame
     return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"{column}_value")).agg(sums.alias(f"{column}_n"))
 
 
-def _fusing(languages: Sequence[str], prior: np.ndarray, evidence: dict[str, dict[str, np.ndarray]]):
+def _fusing(languages: Sequence[str], prior: np.ndarray, totals: dict[str, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(languages)
         names = np.array([*languages, "und"])
@@ -122,18 +145,18 @@ def _fusing(languages: Sequence[str], prior: np.ndarray, evidence: dict[str, dic
         def matrix(column: pa.Array) -> np.ndarray:
             return np.array([x or [0.0] * size for x in column.to_pylist()], float).reshape(-1, size)
 
-        def known(column: pa.Array, table: dict[str, np.ndarray]) -> np.ndarray:
-            return np.array([table.get(x, np.zeros(size)) for x in column.to_pylist()]).reshape(-1, size)
+        def known(column: pa.Array, total: np.ndarray) -> np.ndarray:
+            return np.where(column.is_valid().to_numpy(zero_copy_only=False)[:, None], np.log((matrix(column) + 1) / total), 0.0)
 
         for batch in batches:
             of = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-            ll, some = matrix(of["ll"]), of["grams"].to_numpy() > 0
+            ll, some = matrix(of["ll"]), (of["grams"].to_numpy() > 0) & of["fits"].to_numpy(zero_copy_only=False)
             by_text = np.where(some, ll.argmax(axis=1), size) if len(ll) else np.zeros(0, np.int64)
             own = np.eye(size + 1)[by_text][:, :size]  # a text's own decision is taken out of its site and host
             site, host = (np.maximum(matrix(of[c]) - own, 0) for c in ("site_n", "host_n"))
             site = (site + SMOOTHING * prior) / (site.sum(axis=1, keepdims=True) + SMOOTHING)
             host = (host + SMOOTHING * site) / (host.sum(axis=1, keepdims=True) + SMOOTHING)
-            score = ll + np.log(host) + sum(known(of[c], evidence[c]) for c in evidence)
+            score = ll + np.log(host) + sum(known(of[f"{c}_n"], totals[c]) for c in totals)
             share = np.exp(score - score.max(axis=1, keepdims=True)) if len(ll) else score
             share /= share.sum(axis=1, keepdims=True)
             best = np.where(some, score.argmax(axis=1), size) if len(ll) else by_text
@@ -149,27 +172,27 @@ def _fusing(languages: Sequence[str], prior: np.ndarray, evidence: dict[str, dic
 def fuse(scored: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """``id, declared, by_text, lang, posterior`` for every row of `text_likelihoods`.
 
-    What reaches the driver is one row for each language, and for each of the 1,024 commonest declared
-    values and suffixes; any other value counts as no evidence.
+    Every declared value and suffix is evidence; what reaches the driver is one row for each language and
+    column. A text that doesn't fit (all do, where there is no such column) counts nowhere and is ``und``.
     """
+    scored = scored if "fits" in scored.columns else scored.withColumn("fits", F.lit(True))
     best = F.array_max(F.transform(F.col("ll"), lambda x, k: F.struct(x, -k)))["col2"]
-    scored = stored(scored.withColumn("by_text", F.when(F.col("grams") > 0, F.element_at(F.array(*map(F.lit, languages)), 1 - best))), "likelihoods")
+    scored = stored(scored.withColumn("by_text", F.when((F.col("grams") > 0) & F.col("fits"), F.element_at(F.array(*map(F.lit, languages)), 1 - best))), "likelihoods")
     known = scored.where("by_text IS NOT NULL")
     total = {r["by_text"]: r["count"] for r in known.groupBy("by_text").count().collect()}
     prior = np.array([total.get(x, 0) + 1.0 for x in languages])
-    evidence = {}
+    totals, rows = {}, scored
     for column in ("declared", "suffix"):
-        counts = _counts(known, column, languages)
-        rows = counts.orderBy(F.aggregate(f"{column}_n", F.lit(0.0), lambda a, b: a + b).desc(), f"{column}_value").limit(1024).collect()
-        table = np.array([r[1] for r in rows]).reshape(-1, len(languages)) + 1.0
-        logs = np.log(table / (table.sum(axis=0) + 1.0)) if len(rows) else table
-        evidence[column] = {r[0]: x for r, x in zip(rows, logs)}
+        counts = stored(_counts(known, column, languages), f"{column}-counts")
+        sums = counts.agg(F.count(F.lit(1)), *[F.sum(F.col(f"{column}_n")[k]) for k in range(len(languages))]).first()
+        totals[column] = np.array([x or 0.0 for x in sums[1:]]) + sums[0] + 1.0
+        rows = rows.join(counts, F.col(column) == F.col(f"{column}_value"), "left")
     # A host's rows may be very many; the other side has one row a host, so Spark may split them.
-    rows = scored.join(_counts(known, "site", languages), F.col("site") == F.col("site_value"), "left")
+    rows = rows.join(_counts(known, "site", languages), F.col("site") == F.col("site_value"), "left")
     rows = rows.join(_counts(known, "host", languages), F.col("host") == F.col("host_value"), "left")
-    rows = rows.select("id", "declared", "suffix", "grams", "ll", "site_n", "host_n")
+    rows = rows.select("id", "declared", "grams", "fits", "ll", "declared_n", "suffix_n", "site_n", "host_n")
     kind = rows.schema["id"].dataType.simpleString()
-    return arrow_map(rows, _fusing(tuple(languages), prior / prior.sum(), evidence), f"id {kind}, declared string, by_text string, lang string, posterior double")
+    return arrow_map(rows, _fusing(tuple(languages), prior / prior.sum(), totals), f"id {kind}, declared string, by_text string, lang string, posterior double")
 
 
 def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: Sequence[str] | None = None, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
@@ -177,7 +200,7 @@ def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: S
 
     texts: ``id, text, declared, host, site, suffix``; all but id may be null, and missing evidence is
     left out (a null host or site falls back to the next wider counts). A text without a letter, an
-    empty or null one, is ``und`` with posterior 0 and is not kept. kept: the language is one of
+    empty or null one, or one that fits none of ``languages`` is ``und`` with posterior 0 and is not kept. kept: the language is one of
     ``accepted`` (all, if not given) with a posterior of at least ``least``. Equal scores go to the
     first language. Rows that repeat each get their answer, also under a null id. Other columns play
     no part. An empty table gives an empty one. Hosts with very many rows are joined by shuffle with

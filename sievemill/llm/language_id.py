@@ -13,7 +13,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import _slices
@@ -71,10 +71,10 @@ def _counted(languages: Sequence[str]):
     return run
 
 
-def trigram_model(texts: DataFrame, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
+def trigram_model(texts: DataFrame, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE, by: str = "id") -> np.ndarray:
     """Log probabilities by cell and language, from about ``sample`` declared texts of each.
 
-    texts: ``id, text, declared``. The sample is a threshold on a hash of the id, so reruns agree. The
+    texts: ``id, text, declared``. The sample is a threshold on a hash of ``by``, so reruns agree. The
     counts that reach the driver are bounded by cells times languages. A language without texts gets
     equal probabilities.
     """
@@ -83,7 +83,7 @@ def trigram_model(texts: DataFrame, languages: Sequence[str] = LANGUAGES, sample
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("declared") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    chosen = declared.where(document_hash(F.col("id"), "train") < share * float(2**60)).select("declared", "text")
+    chosen = declared.where(document_hash(F.col(by), "train") < share * float(2**60)).select("declared", "text")
     counts = np.zeros((CELLS, len(languages)))
     for r in arrow_map(chosen, _counted(list(languages)), "lang long, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"], r["lang"]] = r["n"]
@@ -195,7 +195,7 @@ def fuse(scored: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     return arrow_map(rows, _fusing(tuple(languages), prior / prior.sum(), totals), f"id {kind}, declared string, by_text string, lang string, posterior double")
 
 
-def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: Sequence[str] | None = None, least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
+def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: Sequence[str] | None = None, least: float = LEAST, sample: int = SAMPLE, by: str = "id") -> DataFrame:
     """Language of every whole text: ``id, declared, by_text, lang, posterior, kept``, one row per row.
 
     texts: ``id, text, declared, host, site, suffix``; all but id may be null, and missing evidence is
@@ -207,7 +207,7 @@ def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: S
     one row on the other side, where Spark may split the many.
     """
     texts = texts.select("id", "text", "declared", "host", "site", "suffix")
-    model = trigram_model(texts, languages, sample)
+    model = trigram_model(texts, languages, sample, by)
     found = fuse(text_likelihoods(texts, model, languages), languages)
     keep = F.col("lang").isin(*(accepted if accepted is not None else languages)) & (F.col("posterior") >= least)
     return found.select("id", "declared", "by_text", "lang", "posterior", keep.alias("kept"))
@@ -237,7 +237,20 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def _row_key() -> Column:
+    """A digest of all that a document's decision depends on, and of its id."""
+    parts = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in ("`doc_id`", "lang", "source", "text")]
+    return F.sha2(F.concat_ws(" ", *parts), 256)
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is known well enough, with all their columns."""
-    gone = identify_documents(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stored(gone, "rejected"), F.col("`doc_id`").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` whose language is known well enough, with all their columns.
+
+    Rows are told apart by id, language, source and text together, as ids may repeat or be null.
+    """
+    nothing = F.lit(None).cast("string")
+    texts = docs.select(
+        F.struct(F.col("doc_id"), _row_key().alias("key")).alias("id"), "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), nothing.alias("site"), nothing.alias("suffix")
+    )
+    gone = identify(texts, by="id.doc_id").where("NOT kept").select(F.col("id.key").alias("__gone")).distinct()
+    return docs.join(stored(gone, "rejected"), _row_key() == F.col("__gone"), "left_anti")

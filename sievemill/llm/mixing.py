@@ -65,17 +65,8 @@ def _by_source(rows: DataFrame, small: DataFrame, sources: int) -> DataFrame:
     return rows.join(side, F.col("source").eqNullSafe(F.col("__source"))).select(*rows.columns, *names)
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """What a mix takes of every document: ``doc_id, size, source_size, target, taken``, one row per row.
-
-    size is the number of words of the whole text; null and empty texts have 0, and are taken 0 times.
-    A document is taken whole, up to ``repeats`` times: each source gives every document as often as
-    its target allows, and once more those below its threshold. The documents of the boundary hash go
-    in if that comes at least as near the target as leaving them out, so a source misses its target by
-    half a document at most. Rows that repeat an id share a hash and are taken or left together; rows
-    with a null id likewise. Other columns play no part. An empty table gives an empty one.
-    """
-    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), seed).alias("h")), "sizes")
+def _limits(sized: DataFrame, weights: tuple, budget: float, repeats: int) -> tuple[DataFrame, int]:
+    """One row a source: how often all its documents are taken, and up to which hash once more; and the number of sources."""
     targets = stored(source_targets(sized, weights, budget, repeats).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)), "targets")
     sources = targets.count()
     bits = LEVEL_BITS * LEVELS
@@ -98,15 +89,37 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repea
         bound = ended
     cut = bound.select("source", F.col("first").alias("at"), (F.col("rest") >= F.col("words") - F.col("rest")).alias("in_too"))
     limits = targets.join(cut.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2")), "left").drop("s2")
-    limits = limits.withColumn("beyond", (F.col("target") - F.col("passes") * F.col("source_size")) > 0)
-    taken = _by_source(sized, limits, sources)
+    return limits.withColumn("beyond", (F.col("target") - F.col("passes") * F.col("source_size")) > 0), sources
+
+
+def _times() -> Column:
     more = F.when(F.col("at").isNull(), F.col("beyond")).otherwise((F.col("h") < F.col("at")) | ((F.col("h") == F.col("at")) & F.col("in_too")))
-    return taken.select("doc_id", "size", "source_size", "target", ((F.col("passes") + more.cast("int")) * F.col("size")).cast("long").alias("taken"))
+    return F.col("passes") + more.cast("int")
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
+    """What a mix takes of every document: ``doc_id, size, source_size, target, taken``, one row per row.
+
+    size is the number of words of the whole text; null and empty texts have 0, and are taken 0 times.
+    A document is taken whole, up to ``repeats`` times: each source gives every document as often as
+    its target allows, and once more those below its threshold. The documents of the boundary hash go
+    in if that comes at least as near the target as leaving them out, so a source misses its target by
+    half a document at most. Rows that repeat an id share a hash and are taken or left together; rows
+    with a null id likewise. Other columns play no part. An empty table gives an empty one.
+    """
+    sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), document_hash(F.col("doc_id"), seed).alias("h")), "sizes")
+    taken = _by_source(sized, *_limits(sized, weights, budget, repeats))
+    return taken.select("doc_id", "size", "source_size", "target", (_times() * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, budget: float = BUDGET, repeats: int = REPEATS, seed: str = "mix") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, a row for each time it takes them; documents without words go."""
-    names = docs.columns
-    times = mix(docs, weights, budget, repeats, seed).where("taken > 0").select(F.col("doc_id").alias("__id"), F.expr("cast(taken div size as int)").alias("__times")).distinct()
-    found = docs.join(stored(times, "times"), F.col("`doc_id`").eqNullSafe(F.col("__id")))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in names])
+    """The rows of ``docs`` that the mix takes, a row for each time it takes them; documents without words go.
+
+    The decision is made on the row itself, from its source's limits, so rows that share an id, or have
+    none, don't meet each other's.
+    """
+    size = word_count(F.col("text")).alias("size")
+    key = [F.col("source"), document_hash(F.col("doc_id"), seed).alias("h")]
+    limits, sources = _limits(stored(docs.select(*key, size), "sizes"), weights, budget, repeats)
+    rows = _by_source(docs.select(F.struct("*").alias("__row"), *key, size), limits, sources).where("size > 0")
+    return rows.select("__row", F.explode(F.array_repeat(F.lit(1), _times().cast("int")))).select("__row.*")

@@ -19,12 +19,16 @@ def doi(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct runs of letters and digits, lower-cased, in order; an empty array for a null text."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    return F.array_distinct(_runs(text, "+"))
+
+
+def _runs(text: Column, times: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]" + times), F.lit(0))
 
 
 def keywords(title: Column, stopwords: tuple = STOPWORDS) -> Column:
     """Distinct title words of three or more letters that aren't stopwords, in order."""
-    return F.array_except(F.filter(tokens(title), lambda w: F.length(w) > 2), F.array(*[F.lit(w) for w in stopwords]))
+    return F.array_except(_runs(title, "{3,}"), F.array(*[F.lit(w) for w in stopwords]))
 
 
 def file_name(author: Column, year: Column, title: Column, words: int = 6) -> Column:

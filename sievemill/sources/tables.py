@@ -20,10 +20,20 @@ STUDY = T.StructType(
 )
 
 
+#: Tables of so many splits or more are never dealt anew.
+FEW_SPLITS = 32
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, for costly work on rows that lie in a few splits; a larger one as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else rows
+
+
 def read_info_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """The studies of one or more cases, under an explicit schema."""
     reader = spark.read.schema(STUDY)
@@ -46,6 +56,18 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("modified"), header.alias("header"), ((F.col("length") > 0) & (header == F.lit(b"%PDF-"))).alias("valid"))
 
 
+def fetched_pdfs(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """``path, length, state`` for each path of a manifest: valid, not_pdf, or missing.
+
+    manifest: ``path``; files: what `read_pdfs` found. A file without any bytes counts as missing, as
+    the reader doesn't list it. Repeated paths count once; null paths are left out; files that the
+    manifest doesn't name play no part.
+    """
+    state = F.when(F.col("valid"), "valid").when(F.col("length").isNull(), "missing").otherwise("not_pdf")
+    wanted = manifest.select("path").where("path IS NOT NULL").distinct()
+    return wanted.join(files.select("path", "length", "valid"), "path", "left").select("path", "length", state.alias("state"))
+
+
 def write_by_case(rows: DataFrame, path: str) -> None:
     """Append below ``path``, a folder for each case."""
     rows.write.partitionBy("case_name").mode("append").parquet(path)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: A round must be over after so many seconds; the engine gives up after so many. Both limits still count as in time.
 ROUND_SECONDS, ENGINE_SECONDS = 110, 120
 
@@ -52,19 +54,34 @@ def purge(cache: DataFrame) -> DataFrame:
 def overlapping(rounds: DataFrame, lane: str) -> DataFrame:
     """``task_id, open_others``: rounds that began while rounds of other papers in their lane were open. Must be empty.
 
-    Starts and ends are laid in one order of time, ends first; a running sum counts what is open in the
-    lane, another what is open of the row's own paper. An unpushed round is open for the engine's limit.
-    """
-    end = F.coalesce(F.col("push_ts").cast("timestamp"), F.col("pull_ts").cast("timestamp") + F.expr(f"INTERVAL {ENGINE_SECONDS} SECONDS"))
-    keys = [lane, "paper_id", "task_id"]
-    starts = rounds.select(*keys, F.col("pull_ts").cast("timestamp").alias("at"), F.lit(1).alias("step"))
-    steps = starts.unionByName(rounds.select(*keys, end.alias("at"), F.lit(-1).alias("step")))
-
-    def open_before(*by: str) -> Column:
-        return F.coalesce(F.sum("step").over(Window.partitionBy(*by).orderBy("at", "step", "task_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    Of rounds that begin at the same time the one with the smaller task_id began first. An unpushed
+    round is open for the engine's limit; one that ends when or before it begins is open to nobody, but
+    may begin in others. Rounds without a lane, paper or begin play no part; task ids are unique.
 
-    counted = steps.withColumn("open_others", (open_before(lane) - open_before(lane, "paper_id")).cast("long"))
-    return counted.where("step = 1 AND open_others > 0").select("task_id", "open_others")
+    Starts and ends are laid in one order, ends first, and dealt by ranges of it, so a lane or paper of
+    any size is spread over tasks. What is open before a row is what its range's earlier rows and all
+    ranges before left open in the lane, less the same for its paper.
+    """
+    begin = F.col("pull_ts").cast("timestamp")
+    end = F.coalesce(F.col("push_ts").cast("timestamp"), begin + F.expr(f"INTERVAL {ENGINE_SECONDS} SECONDS"))
+    rows = rounds.select(F.col(lane).alias("lane"), "paper_id", "task_id", begin.alias("begin"), end.alias("end")).where("lane IS NOT NULL AND paper_id IS NOT NULL AND begin IS NOT NULL")
+    steps = F.array(
+        F.struct(F.col("begin").alias("at"), F.lit(1).alias("kind"), F.when(F.col("end") > F.col("begin"), 1).otherwise(0).alias("step")),
+        F.struct(F.col("end").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("step")),
+    )
+    laid = rows.select("lane", "paper_id", "task_id", "begin", "end", F.inline(steps)).where("kind = 1 OR end > begin").drop("begin", "end")
+    laid = laid.repartitionByRange("lane", "at", "kind", "task_id").withColumn("part", F.spark_partition_id())
+    laid = stored(laid, "steps")
+    counted = laid
+    for by, name in ((["lane"], "of_lane"), (["lane", "paper_id"], "of_paper")):
+        # One row for each range and lane or paper in it: as many as ranges at most in one window.
+        sums = laid.groupBy(*by, "part").agg(F.sum("step").alias("left_open"))
+        before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = sums.select(*by, "part", F.coalesce(F.sum("left_open").over(before), F.lit(0)).alias(f"carried_{name}"))
+        inside = Window.partitionBy(*by, "part").orderBy("at", "kind", "task_id").rowsBetween(Window.unboundedPreceding, -1)
+        counted = counted.withColumn(name, F.coalesce(F.sum("step").over(inside), F.lit(0))).join(carried, [*by, "part"])
+    others = F.col("of_lane") + F.col("carried_of_lane") - F.col("of_paper") - F.col("carried_of_paper")
+    return counted.where("kind = 1").select("task_id", others.alias("open_others")).where("open_others > 0")
 
 
 def active(queue: DataFrame) -> DataFrame:

@@ -10,27 +10,28 @@ from ..functions.text import doi
 #: The two projections of an extraction. Which fields each has is an assumption.
 FAST = ("author", "year", "doi", "journal")
 CORE = ("author", "year", "doi", "title", "journal")
-#: A reference line: author, year, title, journal, DOI.
-REFERENCE = r"^(?:\[[0-9]+\]\s*)?([^().]+?)(?: et al\.?)? \(((?:19|20)[0-9]{2})\)\. ([^.]+)\. ([^.]+)\. (?:doi:|https?://doi\.org/)"
+#: A reference line: first author, whoever else, year, title, journal.
+REFERENCE = r"^(?:\[[0-9]+\]\s*)?([^(),;]+?)(?:[,;][^()]*| et al\.?| (?:and|&) [^()]*)? \(((?:19|20)[0-9]{2})[a-z]?\)\. ([^.]+)\. ([^.]+)\."
 
 
 def reference_lines(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines that name a DOI: ``id, line_no, line``."""
+    """Lines that may be references, with or without a DOI: ``id, line_no, line``."""
     lines = reviews.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").contains("10."))
+    return lines.where(F.col("line").contains("10.") | F.col("line").rlike(REFERENCE))
 
 
 def included_studies(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each reference line: ``id, line_no, author, year, title, journal, doi``.
 
-    A field that the line doesn't show is null. Null texts give no rows.
+    A reference line has the form of one (author, year in brackets, title, journal) or names a DOI. A
+    field that it doesn't show is null; author is the first one. Null texts give no rows.
     """
 
     def part(k: int) -> Column:
         return F.nullif(F.trim(F.regexp_extract("line", REFERENCE, k)), F.lit(""))
 
     found = reference_lines(reviews, id_col, text_col).select("id", "line_no", part(1).alias("author"), part(2).cast("int").alias("year"), part(3).alias("title"), part(4).alias("journal"), doi(F.col("line")).alias("doi"))
-    return found.where("doi IS NOT NULL")
+    return found.where("doi IS NOT NULL OR year IS NOT NULL")
 
 
 def project(studies: DataFrame, mode: str) -> DataFrame:
@@ -38,18 +39,54 @@ def project(studies: DataFrame, mode: str) -> DataFrame:
     return studies.select(*{"fast": FAST, "core": CORE}[mode]).distinct()
 
 
-def meta_tag(html: Column, name: str) -> Column:
-    """Content of the first meta tag of that name; null if there is none."""
-    return F.nullif(F.regexp_extract(html, rf"(?is)<meta\s+name=[\"']{name}[\"']\s+content=[\"']([^\"']*)[\"']", 1), F.lit(""))
+#: A tag up to its end, past what is quoted in it; its attributes one after the other, with their values.
+TAG = r"(?i)<{}\b[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>"
+ATTRIBUTES = r"([A-Za-z][A-Za-z0-9:_.-]*)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of a tag's attribute, in any order and quoting; null if it isn't there or empty."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTES), F.lit(1)), F.lower)
+    value = F.get(F.regexp_extract_all(tag, F.lit(ATTRIBUTES), F.lit(2)), F.array_position(names, name).cast("int") - 1)
+    return F.nullif(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit(""))
+
+
+def meta_tags(html: Column) -> Column:
+    """The named meta tags of a page, in order: an array of ``name`` (lower-cased) and ``content``."""
+    tags = F.regexp_extract_all(html, F.lit(TAG.format("meta")), F.lit(0))
+    return F.filter(F.transform(tags, lambda t: F.struct(F.lower(attribute(t, "name")).alias("name"), attribute(t, "content").alias("content"))), lambda m: m["name"].isNotNull())
+
+
+def _named(name: str) -> Column:
+    return F.transform(F.filter("tags", lambda m: (m["name"] == name) & m["content"].isNotNull()), lambda m: m["content"])
+
+
+def _first(*names: str) -> Column:
+    return F.coalesce(*[F.get(_named(n), 0) for n in names])
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
-    """``page_id, host, lang, title, doi, pdf_url`` from a page's address and markup."""
-    return pages.select(
+    """``page_id, host, lang, title, doi, pdf_url`` from a page's address and markup, one row a page; what isn't there is null."""
+    return pages.select("page_id", "url", "html", meta_tags(F.col("html")).alias("tags")).select(
         "page_id",
         F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#:]+)", 1)), F.lit("")).alias("host"),
-        F.nullif(F.regexp_extract("html", r"<html lang=\"([a-zA-Z-]+)\"", 1), F.lit("")).alias("lang"),
-        F.nullif(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1), F.lit("")).alias("title"),
-        F.lower(meta_tag(F.col("html"), "citation_doi")).alias("doi"),
-        meta_tag(F.col("html"), "citation_pdf_url").alias("pdf_url"),
+        attribute(F.regexp_extract("html", TAG.format("html"), 0), "lang").alias("lang"),
+        F.nullif(F.regexp_extract("html", r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1), F.lit("")).alias("title"),
+        F.lower(_first("citation_doi")).alias("doi"),
+        _first("citation_pdf_url").alias("pdf_url"),
+    )
+
+
+def citation_tags(pages: DataFrame) -> DataFrame:
+    """``page_id, citation_title, authors, journal, published`` from publishers' meta tags, one row a page.
+
+    Of tags that repeat the first counts, but of authors all, joined by semicolons. What isn't there is
+    null; character references stay as they are.
+    """
+    return pages.select("page_id", meta_tags(F.col("html")).alias("tags")).select(
+        "page_id",
+        _first("citation_title").alias("citation_title"),
+        F.nullif(F.array_join(_named("citation_author"), "; "), F.lit("")).alias("authors"),
+        _first("citation_journal_title").alias("journal"),
+        _first("citation_publication_date", "citation_date").alias("published"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords
+from ..sources.tables import spread
 
 INSUFFICIENT = "insufficient_evidence"
 #: Question words up to so many are broadcast, and else joined by shuffle.
@@ -18,20 +19,25 @@ def notes_from_documents(docs: DataFrame) -> DataFrame:
     return lines.select(F.concat_ws("-", "doc_id", "line_no").alias("note_id"), F.col("doc_id").alias("source_id"), F.col("source").alias("category"), "text").where("text <> ''")
 
 
-def search(notes: DataFrame, questions: DataFrame, top: int = 5) -> DataFrame:
-    """``question_id, note_id, hits, rank``: the notes that share most keywords with a question.
+def shared_keywords(notes: DataFrame, questions: DataFrame, least: int = 1) -> DataFrame:
+    """``question_id, note_id, hits``: every note that shares at least ``least`` keywords with a question.
 
     questions: ``question_id, category, text``; a question with a category is searched in that category
-    only. Ties go to the smaller note_id. A note's shared words are counted inside its own row, so
-    notes never meet in a shuffle of words; only the best rows of each question are ranked.
+    only. Notes' words meet the questions' words, which are broadcast while they are few, and are counted
+    for each note and question inside the task before anything is shuffled. Rows that repeat a note_id
+    count together. Notes and questions without keywords find nothing.
     """
     asked = questions.select("question_id", F.col("category").alias("in_category"), F.explode(keywords(F.col("text"))).alias("word"))
-    words = notes.select("note_id", "category", F.explode(keywords(F.col("text"))).alias("word"))
+    words = spread(notes.select("note_id", "category", "text")).select("note_id", "category", F.explode(keywords(F.col("text"))).alias("word"))
     side = F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked
     shared = words.join(side, "word").where(F.col("in_category").isNull() | (F.col("in_category") == F.col("category")))
-    hits = shared.groupBy("question_id", "note_id").agg(F.count(F.lit(1)).alias("hits"))
+    return shared.groupBy("question_id", "note_id").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least)
+
+
+def search(notes: DataFrame, questions: DataFrame, top: int = 5, least: int = 1) -> DataFrame:
+    """``question_id, note_id, hits, rank``: the ``top`` notes of `shared_keywords` for each question; ties go to the smaller note_id."""
     order = Window.partitionBy("question_id").orderBy(F.col("hits").desc(), "note_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return shared_keywords(notes, questions, least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def grounded_answers(questions: DataFrame, found: DataFrame, least: int = 3) -> DataFrame:
@@ -53,6 +59,11 @@ def invented_citations(answers: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def survey(answers: DataFrame, notes: DataFrame) -> DataFrame:
-    """Material of a survey: for each question the sources of its notes, and how many notes each gives."""
-    cited = answers.select("question_id", F.explode("citations").alias("note_id")).join(notes.select("note_id", "source_id"), "note_id")
+    """Material of a survey from the notes that answers cite, see `survey_of`."""
+    return survey_of(answers.select("question_id", F.explode("citations").alias("note_id")), notes)
+
+
+def survey_of(evidence: DataFrame, notes: DataFrame) -> DataFrame:
+    """``question_id, source_id, notes``: the sources of each question's notes, and how many notes each gives. evidence: ``question_id, note_id``."""
+    cited = evidence.select("question_id", "note_id").join(notes.select("note_id", "source_id"), "note_id")
     return cited.groupBy("question_id", "source_id").agg(F.count(F.lit(1)).alias("notes"))

@@ -6,36 +6,75 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import doi, keywords, tokens
+from ..sources.tables import spread
+
+#: Titles of one or two words that are searched in one pass; so many come to the driver at a time.
+SHORT_BLOCK = 20_000
 
 
 def verify(files: DataFrame, studies: DataFrame, least: float = 0.6) -> DataFrame:
     """``path, study_id, doi_ok, author_ok, title_share, verdict`` for each fetched file.
 
-    files: ``path, study_id, text``; studies: ``study_id, doi, author, title``. The three kinds of
-    evidence stay visible. Verdict (an assumption): verified if the text's DOI is the study's, or the
-    text shows none and has the author and at least ``least`` of the title keywords; mismatch if its DOI
-    is another; unverified otherwise, and for an empty text.
+    files: ``path, study_id, text``; studies: ``study_id, doi, author, title``, one row a study. The
+    three kinds of evidence stay visible. Verdict (an assumption): verified if the text's DOI is the
+    study's, or the text shows none and has the author and at least ``least`` of the title keywords;
+    mismatch if its DOI is another; unverified otherwise, and for an empty text or an unknown study.
     """
-    wanted = studies.select("study_id", F.lower("doi").alias("doi"), F.lower("author").alias("author"), keywords(F.col("title")).alias("keys"))
-    rows = files.join(wanted, "study_id").withColumn("seen", doi(F.col("text"))).withColumn("words", tokens(F.col("text")))
+    wanted = studies.select("study_id", F.lit(True).alias("known"), F.lower("doi").alias("doi"), F.lower("author").alias("author"), keywords(F.col("title")).alias("keys"))
+    rows = files.join(wanted, "study_id", "left").withColumn("seen", doi(F.col("text"))).withColumn("words", tokens(F.col("text")))
     share = F.when(F.size("keys") > 0, F.size(F.array_intersect("keys", "words")) / F.size("keys")).otherwise(F.lit(0.0))
-    rows = rows.select("path", "study_id", "seen", (F.col("seen").eqNullSafe(F.col("doi")) & F.col("seen").isNotNull()).alias("doi_ok"), F.coalesce(F.array_contains("words", F.col("author")), F.lit(False)).alias("author_ok"), F.round(share, 4).alias("title_share"))
-    verdict = F.when(F.col("doi_ok"), "verified").when(F.col("seen").isNotNull(), "mismatch").when(F.col("author_ok") & (F.col("title_share") >= least), "verified").otherwise("unverified")
-    return rows.withColumn("verdict", verdict).drop("seen")
+    rows = rows.select("path", "study_id", "known", "seen", (F.col("seen").eqNullSafe(F.col("doi")) & F.col("seen").isNotNull()).alias("doi_ok"), F.coalesce(F.array_contains("words", F.col("author")), F.lit(False)).alias("author_ok"), F.round(share, 4).alias("title_share"))
+    verdict = F.when(F.col("known").isNull(), "unverified").when(F.col("doi_ok"), "verified").when(F.col("seen").isNotNull(), "mismatch").when(F.col("author_ok") & (F.col("title_share") >= least), "verified").otherwise("unverified")
+    return rows.withColumn("verdict", verdict).drop("seen", "known")
+
+
+def _holding(texts: DataFrame, titles: list[str]) -> DataFrame:
+    """(doc_id, title) of the texts that hold one of these titles, by an automaton over all of them at once."""
+
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        automaton = ahocorasick.Automaton()
+        for title in titles:
+            automaton.add_word(title, title)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for title in {t for _, t in automaton.iter(text or "")}:
+                    ids.append(doc)
+                    found.append(title)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(found, pa.string())], ["doc_id", "title"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, title string")
 
 
-def texts_with_titles(texts: DataFrame, titles: DataFrame) -> DataFrame:
+def texts_with_titles(texts: DataFrame, titles: DataFrame, block: int = SHORT_BLOCK) -> DataFrame:
     """(doc_id, item_id) of the texts that hold a title word for word.
 
-    texts: ``doc_id, text``; titles: ``item_id, title``. A title's longest inner word must be a word of
-    the text, which makes an equality join; the few pairs that share it are then searched. Titles of
-    fewer than three words are left out: they have no inner word.
+    texts: ``doc_id, text``; titles: ``item_id, title``. The longest inner word of a title of three
+    words or more must be a word of the text, which makes an equality join; the few pairs that share it
+    are then searched. Shorter titles have no inner word: they are searched as a set of queries, about
+    ``block`` at a time, each block in one pass over all texts. Null and empty titles are found nowhere;
+    a title may begin and end inside a word.
     """
     words = F.split("title", "[ \n]")
-    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    rows = titles.where("title <> ''").select("item_id", "title", words.alias("words"))
+    inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchored = titles.where(F.size(words) > 2).select("item_id", "title", longest.alias("anchor"))
+    anchored = rows.where(F.size("words") > 2).select("item_id", "title", longest.alias("anchor"))
     anchors = anchored.select("anchor").distinct()
+    texts = spread(texts.select("doc_id", "text"))
     of_text = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("anchor")).join(anchors, "anchor", "left_semi")
     pairs = of_text.join(anchored, "anchor").select("doc_id", "item_id", "title")
-    return pairs.join(texts.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("title"))).select("doc_id", "item_id").distinct()
+    found = pairs.join(texts, "doc_id").where(F.col("text").contains(F.col("title"))).select("doc_id", "item_id")
+    short = rows.where(F.size("words") <= 2).select("item_id", "title")
+    blocks = -(-short.count() // block)
+    for k in range(blocks):
+        asked = short.where(F.pmod(F.xxhash64("title"), F.lit(blocks)) == k)
+        wanted = [r["title"] for r in asked.select("title").distinct().collect()]
+        if wanted:
+            found = found.unionByName(_holding(texts, wanted).join(asked, "title").select("doc_id", "item_id"))
+    return found.distinct()

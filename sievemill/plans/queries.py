@@ -6,31 +6,31 @@ documents, pages, labels, benchmark, part and events.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, file_name, keywords, progress_key
 from ..operators import extraction, fallback, progress, queue, retrieval, verification
-from ..sources.tables import download_input, read_table
+from ..sources.tables import download_input, fetched_pdfs, read_pdfs, read_table, resolve_case, write_by_case
+from ..storage import fresh_path, stored
 from ..streaming import queue as streams
 
 # ---- derived inputs: the same expressions run in Spark and in DuckDB
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a reference line after their first lines."""
+    """Documents with a reference line after their own: one, two or more authors, a fifth of them without a DOI."""
     return read_table(spark, sf_dir, "documents").selectExpr(
         "doc_id", "source",
-        "concat(text, '\n[', doc_id, '] Author', doc_id % 97, ' et al. (', 1990 + doc_id % 35, '). Study ', doc_id % 700, ' of ', lang, '. Journal ', doc_id % 13, '. doi:10.', 1000 + doc_id % 90, '/ABC.', doc_id % 700, '.\nEnd') AS text",
+        "concat(text, '\n[', doc_id, '] Author', doc_id % 97, CASE doc_id % 4 WHEN 1 THEN ', J., & Poe, K.' WHEN 2 THEN ' and Poe' ELSE ' et al.' END, ' (', 1990 + doc_id % 35, '). Study ', doc_id % 700, ' of ', lang, '. Journal ', doc_id % 13, '.', "
+        "CASE WHEN doc_id % 5 <> 0 THEN concat(' doi:10.', 1000 + doc_id % 90, '/ABC.', doc_id % 700, '.') ELSE '' END, '\nEnd') AS text",
     )
 
 
 REVIEWS = """reviews AS (
-  SELECT doc_id, source, text || chr(10) || '[' || doc_id || '] Author' || doc_id % 97 || ' et al. (' || (1990 + doc_id % 35) || '). Study ' || doc_id % 700 || ' of ' || lang
-         || '. Journal ' || doc_id % 13 || '. doi:10.' || (1000 + doc_id % 90) || '/ABC.' || doc_id % 700 || '.' || chr(10) || 'End' AS text
+  SELECT doc_id, source, text || chr(10) || '[' || doc_id || '] Author' || doc_id % 97
+         || CASE doc_id % 4 WHEN 1 THEN ', J., & Poe, K.' WHEN 2 THEN ' and Poe' ELSE ' et al.' END || ' (' || (1990 + doc_id % 35) || '). Study ' || doc_id % 700 || ' of ' || lang
+         || '. Journal ' || doc_id % 13 || '.' || CASE WHEN doc_id % 5 <> 0 THEN ' doi:10.' || (1000 + doc_id % 90) || '/ABC.' || doc_id % 700 || '.' ELSE '' END || chr(10) || 'End' AS text
   FROM documents)"""
 
 
@@ -94,12 +94,12 @@ INCLUDED = f"""
 WITH {REVIEWS}, lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM reviews
 ), found AS (
-  SELECT *, regexp_extract(line, '^(?:\\[[0-9]+\\]\\s*)?([^().]+?)(?: et al\\.?)? \\(((?:19|20)[0-9]{{2}})\\)\\. ([^.]+)\\. ([^.]+)\\. (?:doi:|https?://doi\\.org/)', ['author', 'year', 'title', 'journal']) AS m,
+  SELECT *, regexp_extract(line, '^(?:\\[[0-9]+\\]\\s*)?([^(),;]+?)(?:[,;][^()]*| et al\\.?| (?:and|&) [^()]*)? \\(((?:19|20)[0-9]{{2}})[a-z]?\\)\\. ([^.]+)\\. ([^.]+)\\.', ['author', 'year', 'title', 'journal']) AS m,
          nullif(lower(regexp_extract(line, '(?i)\\b(10\\.[0-9]{{4,9}}/[^\\s"''<>]*[^\\s"''<>.,;:()\\[\\]])', 1)), '') AS doi
-  FROM lines WHERE contains(line, '10.')
+  FROM lines
 )
 SELECT doc_id, line_no, nullif(trim(m.author), '') AS author, CAST(nullif(m.year, '') AS INTEGER) AS year, nullif(trim(m.title), '') AS title, nullif(trim(m.journal), '') AS journal, doi
-FROM found WHERE doi IS NOT NULL
+FROM found WHERE doi IS NOT NULL OR m.year <> ''
 """
 
 
@@ -118,19 +118,63 @@ def prepared_downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 PREPARED = f"WITH {STUDIES} SELECT case_name, study_id, lower(trim(doi)) AS doi, author, year, title FROM studies"
 
 
+def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with bibliographic tags, their attributes in several orders and quotings."""
+    return read_table(spark, sf_dir, "pages").selectExpr(
+        "page_id", "url",
+        r"""replace(CASE WHEN page_id % 5 = 0 THEN replace(html, '<html lang="en"', '<HTML class=x lang=en') ELSE html END, '<title>', concat(
+           CASE page_id % 3 WHEN 0 THEN concat('<meta name="citation_doi" content="10.1234/P.', page_id, '"><meta content="name=citation_title > ', page_id, '" name="citation_title">')
+                            WHEN 1 THEN concat('<META CONTENT=\'The "title" of ', page_id, '\' Name=citation_title /><meta name=citation_author content="Roe, J."><meta name=\'citation_author\' content=Poe><meta property="x" content="y">')
+                            ELSE concat('<meta data-x="1" name="citation_date" content="', 1990 + page_id % 35, '"><meta name="citation_journal_title" content="Journal ', page_id % 13, '"><meta name="citation_pdf_url" content="http://a.b/', page_id, '.pdf"><meta name="citation_title" content="">') END,
+           CASE WHEN page_id % 4 = 0 THEN '<Title class="t">' ELSE '<title>' END)) AS html""",
+    )
+
+
 def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_table(spark, sf_dir, "pages").selectExpr("page_id", "url", "CASE WHEN page_id % 3 = 0 THEN replace(html, '<title>', concat('<meta name=\"citation_doi\" content=\"10.1234/P.', page_id, '\"><title>')) ELSE html END AS html")
-    return extraction.page_metadata(pages)
+    return extraction.page_metadata(_tagged(spark, sf_dir))
+
+
+def citation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.citation_tags(_tagged(spark, sf_dir))
+
+
+def _attribute(tag: str, name: str) -> str:
+    every = r"""'([A-Za-z][A-Za-z0-9:_.-]*)\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)'"""
+    return f"""nullif(regexp_replace(regexp_extract_all({tag}, {every}, 2)[list_position(list_transform(regexp_extract_all({tag}, {every}, 1), lambda n: lower(n)), '{name}')], '^["'']|["'']$', '', 'g'), '')"""
+
 
+def _tag(name: str) -> str:
+    return rf"""'(?i)<{name}\b[^>"'']*(?:"[^"]*"[^>"'']*|''[^'']*''[^>"'']*)*>'"""
 
-PAGES = r"""
+
+TAGGED = rf"""
 WITH tagged AS (
-  SELECT page_id, url, CASE WHEN page_id % 3 = 0 THEN replace(html, '<title>', '<meta name="citation_doi" content="10.1234/P.' || page_id || '"><title>') ELSE html END AS html FROM pages)
-SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '') AS host, nullif(regexp_extract(html, '<html lang="([a-zA-Z-]+)"', 1), '') AS lang,
-       nullif(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '') AS title,
-       lower(nullif(regexp_extract(html, '(?is)<meta\s+name=["'']citation_doi["'']\s+content=["'']([^"'']*)["'']', 1), '')) AS doi,
-       nullif(regexp_extract(html, '(?is)<meta\s+name=["'']citation_pdf_url["'']\s+content=["'']([^"'']*)["'']', 1), '') AS pdf_url
-FROM tagged
+  SELECT page_id, url, replace(CASE WHEN page_id % 5 = 0 THEN replace(html, '<html lang="en"', '<HTML class=x lang=en') ELSE html END, '<title>',
+    CASE page_id % 3 WHEN 0 THEN '<meta name="citation_doi" content="10.1234/P.' || page_id || '"><meta content="name=citation_title > ' || page_id || '" name="citation_title">'
+                     WHEN 1 THEN '<META CONTENT=''The "title" of ' || page_id || ''' Name=citation_title /><meta name=citation_author content="Roe, J."><meta name=''citation_author'' content=Poe><meta property="x" content="y">'
+                     ELSE '<meta data-x="1" name="citation_date" content="' || (1990 + page_id % 35) || '"><meta name="citation_journal_title" content="Journal ' || page_id % 13 || '"><meta name="citation_pdf_url" content="http://a.b/' || page_id || '.pdf"><meta name="citation_title" content="">' END
+    || CASE WHEN page_id % 4 = 0 THEN '<Title class="t">' ELSE '<title>' END) AS html
+  FROM pages
+), found AS (
+  SELECT page_id, url, html, list_filter(list_transform(
+    regexp_extract_all(html, {_tag('meta')}), lambda t: {{'name': lower({_attribute('t', 'name')}), 'content': {_attribute('t', 'content')}}}), lambda m: m.name IS NOT NULL AND m.content IS NOT NULL) AS tags
+  FROM tagged
+)
+"""
+PAGES = rf"""{TAGGED}
+SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '') AS host,
+       {_attribute(f"regexp_extract(html, {_tag('html')})", 'lang')} AS lang,
+       nullif(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), '') AS title,
+       lower(list_filter(tags, lambda m: m.name = 'citation_doi')[1].content) AS doi,
+       list_filter(tags, lambda m: m.name = 'citation_pdf_url')[1].content AS pdf_url
+FROM found
+"""
+CITATIONS = rf"""{TAGGED}
+SELECT page_id, list_filter(tags, lambda m: m.name = 'citation_title')[1].content AS citation_title,
+       nullif(array_to_string(list_transform(list_filter(tags, lambda m: m.name = 'citation_author'), lambda m: m.content), '; '), '') AS authors,
+       list_filter(tags, lambda m: m.name = 'citation_journal_title')[1].content AS journal,
+       coalesce(list_filter(tags, lambda m: m.name = 'citation_publication_date')[1].content, list_filter(tags, lambda m: m.name = 'citation_date')[1].content) AS published
+FROM found
 """
 
 
@@ -174,10 +218,10 @@ def success_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a fetched file, under the name of a study; a third show their DOI, a seventh another one."""
+    """Every document as a fetched file, under the name of a study or of none; a third show their DOI, a seventh another one."""
     docs = read_table(spark, sf_dir, "documents")
     files = docs.selectExpr(
-        "concat('file', doc_id % 50, '.pdf') AS path", "cast(doc_id AS string) AS study_id",
+        "concat('file', doc_id % 50, '.pdf') AS path", "concat(CASE WHEN doc_id % 23 = 0 THEN 'none-' ELSE '' END, doc_id) AS study_id",
         "concat(text, CASE WHEN doc_id % 7 = 0 THEN ' doi:10.9999/other.1' WHEN doc_id % 3 = 0 THEN concat(' 10.', 1000 + doc_id % 90, '/ABC.', doc_id, '.') ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN concat(' AUTHOR', doc_id % 97) ELSE '' END) AS text",
     )
     wanted = studies(spark, sf_dir).withColumn("doi", F.trim("doi"))
@@ -186,30 +230,41 @@ def verified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VERIFIED = f"""
 WITH {STUDIES}, files AS (
-  SELECT 'file' || doc_id % 50 || '.pdf' AS path, CAST(doc_id AS VARCHAR) AS study_id,
+  SELECT 'file' || doc_id % 50 || '.pdf' AS path, CASE WHEN doc_id % 23 = 0 THEN 'none-' ELSE '' END || doc_id AS study_id,
          text || CASE WHEN doc_id % 7 = 0 THEN ' doi:10.9999/other.1' WHEN doc_id % 3 = 0 THEN ' 10.' || (1000 + doc_id % 90) || '/ABC.' || doc_id || '.' ELSE '' END
          || CASE WHEN doc_id % 2 = 0 THEN ' AUTHOR' || doc_id % 97 ELSE '' END AS text
   FROM documents
 ), facts AS (
-  SELECT f.path, f.study_id, lower(trim(s.doi)) AS doi, nullif(lower(regexp_extract(f.text, '(?i)\\b(10\\.[0-9]{{4,9}}/[^\\s"''<>]*[^\\s"''<>.,;:()\\[\\]])', 1)), '') AS seen,
+  SELECT f.path, f.study_id, s.study_id IS NOT NULL AS known, lower(trim(s.doi)) AS doi, nullif(lower(regexp_extract(f.text, '(?i)\\b(10\\.[0-9]{{4,9}}/[^\\s"''<>]*[^\\s"''<>.,;:()\\[\\]])', 1)), '') AS seen,
          {WORDS.format('f.text')} AS words, lower(s.author) AS author, {KEYS.format('s.title')} AS keys
-  FROM files f JOIN studies s USING (study_id)
+  FROM files f LEFT JOIN studies s ON s.study_id = f.study_id
 ), evidence AS (
-  SELECT path, study_id, seen, coalesce(seen = doi, false) AS doi_ok, list_contains(words, author) AS author_ok,
-         CASE WHEN len(keys) > 0 THEN round(CAST(len(list_intersect(keys, words)) AS DOUBLE) / len(keys), 4) ELSE 0.0 END AS title_share
+  SELECT path, study_id, known, seen, coalesce(seen = doi, false) AS doi_ok, coalesce(list_contains(words, author), false) AS author_ok,
+         CASE WHEN known AND len(keys) > 0 THEN round(CAST(len(list_intersect(keys, words)) AS DOUBLE) / len(keys), 4) ELSE 0.0 END AS title_share
   FROM facts)
 SELECT path, study_id, doi_ok, author_ok, title_share,
-       CASE WHEN doi_ok THEN 'verified' WHEN seen IS NOT NULL THEN 'mismatch' WHEN author_ok AND title_share >= 0.6 THEN 'verified' ELSE 'unverified' END AS verdict
+       CASE WHEN NOT known THEN 'unverified' WHEN doi_ok THEN 'verified' WHEN seen IS NOT NULL THEN 'mismatch' WHEN author_ok AND title_share >= 0.6 THEN 'verified' ELSE 'unverified' END AS verdict
 FROM evidence
 """
 
 
 def titles_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
-    return verification.texts_with_titles(read_table(spark, sf_dir, "documents"), items)
+    """Whole items as titles, and the first two words or the fifth word of each."""
+    items = read_table(spark, sf_dir, "benchmark")
+    titles = items.selectExpr("item_id", "text AS title").unionByName(
+        items.selectExpr("item_id + 1000000 AS item_id", "CASE WHEN item_id % 2 = 0 THEN concat(split(text, ' ')[0], ' ', split(text, ' ')[1]) ELSE split(text, ' ')[4] END AS title")
+    )
+    return verification.texts_with_titles(read_table(spark, sf_dir, "documents"), titles)
 
 
-TITLES = "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)"
+TITLES = """
+WITH titles AS (
+  SELECT item_id, text AS title FROM benchmark
+  UNION ALL
+  SELECT item_id + 1000000, CASE WHEN item_id % 2 = 0 THEN string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2] ELSE string_split(text, ' ')[5] END FROM benchmark
+)
+SELECT d.doc_id, t.item_id FROM documents d JOIN titles t ON contains(d.text, t.title)
+"""
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,17 +292,19 @@ def progress_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sync_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The parts as they are, against a copy that lacks some, has others changed, and some of its own."""
-    source = read_table(spark, sf_dir, "part").where("p_partkey % 13 <> 0").select("p_partkey", "p_name")
-    target = read_table(spark, sf_dir, "part").where("p_partkey % 7 <> 0").selectExpr("p_partkey", "CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) ELSE p_name END AS p_name")
+    """All parts, against a copy in which some have other names; on each side some are known under a key of its own."""
+    parts = read_table(spark, sf_dir, "part")
+    source = parts.selectExpr("CASE WHEN p_partkey % 13 = 0 THEN -2 * p_partkey ELSE p_partkey END AS p_partkey", "p_name")
+    target = parts.selectExpr("CASE WHEN p_partkey % 7 = 0 THEN -2 * p_partkey - 1 ELSE p_partkey END AS p_partkey", "CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) ELSE p_name END AS p_name")
     return progress.sync_plan(source, target, "p_partkey", "p_name")
 
 
 SYNC = """
 SELECT coalesce(s.p_partkey, t.p_partkey) AS p_partkey,
        CASE WHEN t.p_partkey IS NULL THEN 'add' WHEN s.p_partkey IS NULL THEN 'keep' WHEN s.p_name IS NOT DISTINCT FROM t.p_name THEN 'same' ELSE 'replace' END AS action
-FROM (SELECT * FROM part WHERE p_partkey % 13 <> 0) s
-FULL JOIN (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) ELSE p_name END AS p_name FROM part WHERE p_partkey % 7 <> 0) t ON s.p_partkey = t.p_partkey
+FROM (SELECT CASE WHEN p_partkey % 13 = 0 THEN -2 * p_partkey ELSE p_partkey END AS p_partkey, p_name FROM part) s
+FULL JOIN (SELECT CASE WHEN p_partkey % 7 = 0 THEN -2 * p_partkey - 1 ELSE p_partkey END AS p_partkey, CASE WHEN p_partkey % 11 = 0 THEN upper(p_name) ELSE p_name END AS p_name FROM part) t
+  ON s.p_partkey = t.p_partkey
 """
 
 
@@ -301,12 +358,21 @@ def invented_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.invented_citations(spoilt, notes)
 
 
+INVENTED = f"""
+WITH {SEARCH}, cited AS (
+  SELECT question_id, note_id FROM found WHERE hits >= 3 UNION ALL SELECT question_id, 'invented-' || question_id FROM questions
+)
+SELECT question_id, note_id FROM cited c WHERE NOT EXISTS (SELECT 1 FROM notes n WHERE n.note_id = c.note_id)
+"""
+
+
 def survey_material(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every note with three shared keywords or more, by question and source."""
     notes = retrieval.notes_from_documents(read_table(spark, sf_dir, "documents"))
-    return retrieval.survey(retrieval.grounded_answers(_questions(spark, sf_dir), retrieval.search(notes, _questions(spark, sf_dir))), notes)
+    return retrieval.survey_of(retrieval.shared_keywords(notes, _questions(spark, sf_dir), least=3), notes)
 
 
-SURVEY = f"WITH {SEARCH} SELECT f.question_id, n.source_id, count(*) AS notes FROM found f JOIN notes n USING (note_id) WHERE f.hits >= 3 GROUP BY 1, 2"
+SURVEY = f"WITH {SEARCH} SELECT f.question_id, n.source_id, count(*) AS notes FROM shared f JOIN notes n USING (note_id) WHERE f.hits >= 3 GROUP BY 1, 2"
 
 
 def round_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,14 +413,14 @@ GROUP BY 1
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").selectExpr(
-        "doc_id AS entry_id", "CASE WHEN doc_id % 11 = 0 THEN concat('E = ', doc_id) ELSE substr(text, 1, 200) END AS source_text",
-        "CASE WHEN doc_id % 11 = 0 THEN concat('E = ', doc_id) WHEN doc_id % 4 = 0 THEN substr(text, 1, 200) ELSE concat('~', substr(text, 1, 200)) END AS target_text",
+        "doc_id AS entry_id", "CASE WHEN doc_id % 11 = 0 THEN concat('E = ', doc_id) ELSE text END AS source_text",
+        "CASE WHEN doc_id % 11 = 0 THEN concat('E = ', doc_id) WHEN doc_id % 4 = 0 THEN text ELSE concat('~', text) END AS target_text",
     )
 
 
 CACHE = """cache AS (
-  SELECT doc_id AS entry_id, CASE WHEN doc_id % 11 = 0 THEN 'E = ' || doc_id ELSE substr(text, 1, 200) END AS source_text,
-         CASE WHEN doc_id % 11 = 0 THEN 'E = ' || doc_id WHEN doc_id % 4 = 0 THEN substr(text, 1, 200) ELSE '~' || substr(text, 1, 200) END AS target_text
+  SELECT doc_id AS entry_id, CASE WHEN doc_id % 11 = 0 THEN 'E = ' || doc_id ELSE text END AS source_text,
+         CASE WHEN doc_id % 11 = 0 THEN 'E = ' || doc_id WHEN doc_id % 4 = 0 THEN text ELSE '~' || text END AS target_text
   FROM documents)"""
 
 
@@ -377,8 +443,7 @@ ARCHIVED = "SELECT user_id AS batch_id, count(*) AS tasks FROM events WHERE even
 
 def streamed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rounds read as two streams, joined within the engine's limit, and counted by status."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    base = f"{base.rstrip('/')}/rounds-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "rounds")
     both = rounds(spark, sf_dir)
     pulls = both.select("task_id", "batch_id", "pull_ts")
     pushes = both.where("push_ts IS NOT NULL").select("task_id", "push_ts")
@@ -389,12 +454,68 @@ def streamed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.where("task_id >= 0").groupBy("status").agg(F.count(F.lit(1)).alias("rounds"))
 
 
+def fetched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for most suppliers, some of which aren't PDFs, read back as bytes and held against the list of all."""
+    base = fresh_path(spark, "pdfs")
+    suppliers = read_table(spark, sf_dir, "supplier")
+    written = suppliers.where("s_suppkey % 5 <> 0").selectExpr("s_suppkey", "concat(CASE WHEN s_suppkey % 3 = 0 THEN '<html>' ELSE '%PDF-1.7 ' END, s_name) AS value")
+    written.write.partitionBy("s_suppkey").text(base)
+    files = read_pdfs(spark, base).withColumn("path", F.regexp_extract("path", r"s_suppkey=(\d+)/", 1))
+    found = fetched_pdfs(suppliers.select(F.col("s_suppkey").cast("string").alias("path")), files)
+    return found.select(F.col("path").cast("long").alias("s_suppkey"), "length", "state")
+
+
+FETCHED = """
+SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE WHEN s_suppkey % 5 <> 0 THEN CAST(CASE WHEN s_suppkey % 3 = 0 THEN 7 ELSE 10 END + strlen(s_name) AS BIGINT) END AS length,
+       CASE WHEN s_suppkey % 5 = 0 THEN 'missing' WHEN s_suppkey % 3 = 0 THEN 'not_pdf' ELSE 'valid' END AS state
+FROM supplier
+"""
+
+
+def outputs_by_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chosen sources written by case in two goes, each case read back from its own folder."""
+    base = fresh_path(spark, "cases")
+    chosen = source_fallback(spark, sf_dir).withColumn("case_name", F.concat(F.lit("case"), F.col("study_id") % 7))
+    for part in ("study_id % 2 = 0", "study_id % 2 = 1"):
+        write_by_case(chosen.where(part), base)
+    return spark.read.schema(chosen.schema).parquet(base).groupBy("case_name", "tier").agg(F.count(F.lit(1)).alias("studies"))
+
+
+def applied_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records after a report, which writes nothing, and after the missing ones have been filled in."""
+    base = fresh_path(spark, "records")
+    _records(spark, sf_dir).write.parquet(base)
+    disk = read_table(spark, sf_dir, "documents").select("doc_id")
+    for apply in (False, True):
+        progress.apply_backfill(spark.read.parquet(base), disk, base, "doc_id", apply)
+        spark.catalog.refreshByPath(base)
+    return spark.read.parquet(base)
+
+
+def only_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Download input of the one case there is, which nobody has named."""
+    info = stored(studies(spark, sf_dir).withColumn("case_name", F.lit("review")), "info")
+    return download_input(info, resolve_case(info))
+
+
+def timed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of all rounds by event-time timers, counted by status."""
+    base = fresh_path(spark, "timed")
+    both = rounds(spark, sf_dir)
+    events = both.selectExpr("task_id", "pull_ts AS event_ts", "'pull' AS kind").unionByName(both.where("push_ts IS NOT NULL").selectExpr("task_id", "push_ts AS event_ts", "'push' AS kind"))
+    events.unionByName(streams.sentinel(spark, events, "event_ts", "2100-01-01")).write.parquet(f"{base}/events")
+    with streams.rocksdb(spark):
+        done = streams.drained(streams.timed_rounds(streams.read_stream(spark, f"{base}/events", events.schema, 1000)), f"{base}/out", f"{base}/checkpoint")
+    return done.groupBy("status").agg(F.count(F.lit(1)).alias("rounds"))
+
+
 QUERIES = {
     "included_studies": included_studies,
     "studies_fast": studies_fast,
     "studies_core": studies_core,
     "prepared_downloads": prepared_downloads,
     "page_metadata": page_metadata,
+    "citation_tags": citation_tags,
     "study_keys": study_keys,
     "source_fallback": source_fallback,
     "success_rates": success_rates,
@@ -418,15 +539,22 @@ QUERIES = {
     "cache_purged": cache_purged,
     "archived_queue": archived_queue,
     "streamed_rounds": streamed_rounds,
+    "timed_rounds": timed_rounds,
+    "fetched_files": fetched_files,
+    "outputs_by_case": outputs_by_case,
+    "applied_backfill": applied_backfill,
+    "only_case": only_case,
 }
 
 _inner = INCLUDED.strip()
+BY_STATUS = f"WITH {ROUNDS}, {STATUS} SELECT status, count(*) AS rounds FROM timed GROUP BY 1"
 ORACLES = {
     "included_studies": INCLUDED,
     "studies_fast": f"SELECT DISTINCT author, year, doi, journal FROM ({_inner})",
     "studies_core": f"SELECT DISTINCT author, year, doi, title, journal FROM ({_inner})",
     "prepared_downloads": PREPARED,
     "page_metadata": PAGES,
+    "citation_tags": CITATIONS,
     "study_keys": KEYED,
     "source_fallback": f"WITH {ATTEMPTS}, {CHOSEN} SELECT * FROM chosen",
     "success_rates": f"WITH {ATTEMPTS}, {CHOSEN}, {RATES} SELECT * FROM rates",
@@ -440,7 +568,7 @@ ORACLES = {
     "moved_paths": MOVED,
     "note_search": f"WITH {SEARCH} SELECT question_id, note_id, hits, rank FROM found",
     "grounded_answers": ANSWERS,
-    "invented_citations": "SELECT item_id AS question_id, 'invented-' || item_id AS note_id FROM benchmark",
+    "invented_citations": INVENTED,
     "survey_material": SURVEY,
     "round_status": f"WITH {ROUNDS}, {STATUS} SELECT task_id, batch_id, latency, status, CASE WHEN status = 'timed_out' THEN source_text ELSE coalesce(target_text, source_text) END AS result, status = 'timed_out' AS timed_out FROM timed",
     "paired_rounds": f"WITH {ROUNDS}, {STATUS} SELECT status, count(*) AS rounds, sum(latency) AS latency FROM timed GROUP BY 1",
@@ -449,5 +577,13 @@ ORACLES = {
     "cache_poisoned": f"WITH {CACHE} SELECT entry_id FROM cache WHERE target_text = source_text AND regexp_matches(source_text, '\\pL{{3}}')",
     "cache_purged": f"WITH {CACHE} SELECT entry_id, target_text FROM cache WHERE NOT coalesce(target_text = source_text AND regexp_matches(source_text, '\\pL{{3}}'), false)",
     "archived_queue": ARCHIVED,
-    "streamed_rounds": f"WITH {ROUNDS}, {STATUS} SELECT status, count(*) AS rounds FROM timed GROUP BY 1",
+    "streamed_rounds": BY_STATUS,
+    "timed_rounds": BY_STATUS,
+    "fetched_files": FETCHED,
+    "outputs_by_case": f"WITH {ATTEMPTS}, {CHOSEN} SELECT 'case' || study_id % 7 AS case_name, tier, count(*) AS studies FROM chosen GROUP BY 1, 2",
+    "applied_backfill": """
+WITH records AS (SELECT CASE WHEN doc_id % 5 = 0 THEN -doc_id - 1 ELSE doc_id END AS doc_id FROM labels)
+SELECT doc_id FROM records UNION ALL SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM records)
+""",
+    "only_case": f"WITH {STUDIES} SELECT 'review' AS case_name, study_id, lower(trim(doi)) AS doi, author, year, title FROM studies",
 }

@@ -3,7 +3,7 @@
 import datetime as dt
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -55,6 +55,31 @@ def test_page_metadata(spark):
     assert tuple(rows[0]) == (1, "a.b", "de", "T\nu", "10.1234/x", "http://a/b.pdf") and tuple(rows[1]) == (2,) + (None,) * 5
 
 
+def test_citation_tags(spark):
+    html = "<META content='A \"b\" > c' NAME=citation_title><meta name='citation_author' content=Roe /><meta content=\"name=citation_doi\" name=citation_author><meta name=citation_date content=2014><meta name='citation_title' content='second'><meta name=citation_journal_title content=''>"
+    odd = "<meta " + "x" * 100_000
+    rows = extraction.citation_tags(spark.createDataFrame([(1, html), (2, None), (3, odd), (4, "")], "page_id long, html string")).orderBy("page_id").collect()
+    assert tuple(rows[0]) == (1, 'A "b" > c', "Roe; name=citation_doi", None, "2014")
+    assert [tuple(r)[1:] for r in rows[1:]] == [(None,) * 4] * 3
+    loose = extraction.page_metadata(spark.createDataFrame([(1, "http://a.b", "<HTML class='x' lang=en><Title id=t>T</TITLE >")], "page_id long, url string, html string")).first()
+    assert (loose.lang, loose.title) == ("en", "T")
+
+
+@pytest.mark.parametrize(
+    "line, want",
+    [
+        ("Roe, J., & Poe, K. (2014). Air and health. Lancet.", ("Roe", 2014, "Air and health", "Lancet", None)),
+        ("[2] Smith and Jones (1999a). Sleep. Sleep Journal. https://doi.org/10.1234/X", ("Smith", 1999, "Sleep", "Sleep Journal", "10.1234/x")),
+        ("World Health Organization (2020). Report. Geneva.", ("World Health Organization", 2020, "Report", "Geneva", None)),
+        ("a line with (brackets) and 10.5 in it", None),
+        ("see (2014). x", None),
+    ],
+)
+def test_reference_lines(spark, line, want):
+    rows = extraction.included_studies(spark.createDataFrame([(1, f"x\n{line}\ny")], "id long, text string"), "id", "text").collect()
+    assert [tuple(r)[2:] for r in rows] == ([want] if want else [])
+
+
 ATTEMPT = "study_id long, tier_rank int, source_rank int, source string, ok boolean, ts timestamp, attempt_id long"
 
 
@@ -86,6 +111,21 @@ def test_titles_in_texts(spark, sf_dir):
     assert verification.texts_with_titles(docs, items.limit(0).withColumnRenamed("text", "title")).count() == 0
 
 
+def test_files_of_unknown_studies_are_reported(spark):
+    studies = spark.createDataFrame([(1, "10.1234/A", "Smith", "Air")], "study_id long, doi string, author string, title string")
+    files = spark.createDataFrame([("a", 2, "10.1234/a smith air"), ("b", None, None), ("c", 1, "10.1234/a")], "path string, study_id long, text string")
+    got = {r.path: tuple(r)[1:] for r in verification.verify(files, studies).collect()}
+    assert got == {"a": (2, False, False, 0.0, "unverified"), "b": (None, False, False, 0.0, "unverified"), "c": (1, True, False, 0.0, "verified")}
+
+
+@pytest.mark.parametrize("block", [1, 100])
+def test_short_titles_are_found(spark, block):
+    texts = spark.createDataFrame([(1, "on deep learning"), (2, "deep  learning"), (3, "learning"), (4, None), (5, ""), (6, "a deep learnings b"), (3, "learning")], "doc_id long, text string")
+    titles = spark.createDataFrame([(1, "deep learning"), (2, "learning"), (3, "a deep learnings b"), (4, None), (5, ""), (6, "deep learning")], "item_id long, title string")
+    got = sorted(map(tuple, verification.texts_with_titles(texts, titles, block).collect()))
+    assert got == [(1, 1), (1, 2), (1, 6), (2, 2), (3, 2), (6, 1), (6, 2), (6, 3), (6, 6)]
+
+
 def test_progress(spark, tmp_path):
     records = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "progress_key string")
     disk = spark.createDataFrame([("b",), ("c",), (None,)], "progress_key string")
@@ -122,6 +162,9 @@ def test_sources(spark, tmp_path):
     for name, data in (("a.pdf", b"%PDF-1.7 x"), ("b.pdf", b"<html>"), ("c.pdf", b"")):
         (tmp_path / "pdf" / name).write_bytes(data)
     assert {r.path[-5:]: r.valid for r in tables.read_pdfs(spark, str(tmp_path / "pdf")).collect()} == {"a.pdf": True, "b.pdf": False}
+    files = tables.read_pdfs(spark, str(tmp_path / "pdf")).withColumn("path", F.substring_index("path", "/", -1))
+    wanted = spark.createDataFrame([("a.pdf",), ("b.pdf",), ("c.pdf",), ("d.pdf",), ("a.pdf",), (None,)], "path string")
+    assert {(r.path, r.state) for r in tables.fetched_pdfs(wanted, files).collect()} == {("a.pdf", "valid"), ("b.pdf", "not_pdf"), ("c.pdf", "missing"), ("d.pdf", "missing")}
     info = str(tmp_path / "info.csv")
     open(info, "w").write("case_name,study_id,author,year,doi,title,journal\nc,1,A,2001, 10.1/X ,T,J\nc,1,A,2001,10.1/X,T,J\nd,2,B,,,U,\n")
     rows = tables.download_input(tables.read_info_table(spark, info), "c").collect()
@@ -155,7 +198,14 @@ def test_deadlines(spark):
     assert {r.task_id: (r.result, r.timed_out) for r in said.where("task_id IN (109, 110, 121)").collect()} == {109: ("en", False), 110: ("zh", False), 121: ("en", True)}
 
 
-@settings(max_examples=15, deadline=None)
+#: Task 1 begins while 9 is open and just when 2 begins and ends.
+ZERO_LENGTH = [(0, 2, 0, 0), (0, 1, 0, 30), (0, 3, 0, None)]
+
+
+@settings(max_examples=25, deadline=None)
+@example([(0, 3, 0, 50), (0, 1, 5, 30), (0, 2, 5, 0)])
+@example(ZERO_LENGTH)
+@example([(0, 1, 0, 0), (0, 2, 0, 0), (1, 1, 0, 0), (0, 3, 7, 7), (0, 1, 14, 0)])
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 3), st.integers(0, 300), st.one_of(st.none(), st.integers(0, 150))), min_size=1, max_size=25))
 def test_overlaps_by_hand(spark, drawn):
     rows = [(i, lane, 0, paper, T0 + dt.timedelta(seconds=at), None if took is None else T0 + dt.timedelta(seconds=at + took)) for i, (lane, paper, at, took) in enumerate(drawn)]
@@ -168,6 +218,14 @@ def test_overlaps_by_hand(spark, drawn):
     assert {r.task_id: r.open_others for r in queue.overlapping(spark.createDataFrame(rows, ROUND), "lane").collect()} == want
 
 
+def test_overlaps_beside_nulls_and_early_ends(spark):
+    second = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(9, 3, 0, 3, second(-5), second(50)), (1, 3, 0, 1, T0, second(30)), (2, 3, 0, 2, T0, T0), (4, 3, 0, 4, T0, second(-3)), (5, None, 0, 5, T0, second(9)), (6, 3, 0, None, T0, second(9)), (7, 3, 0, 7, None, second(9))]
+    got = {r.task_id: r.open_others for r in queue.overlapping(spark.createDataFrame(rows, ROUND), "lane").collect()}
+    assert got == {1: 1, 2: 2, 4: 2}
+    assert queue.overlapping(spark.createDataFrame([], ROUND), "lane").collect() == []
+
+
 def test_cache_and_archive(spark):
     cache = spark.createDataFrame([(1, "hello there", "hello there"), (2, "hello", "bonjour"), (3, "E = 1", "E = 1"), (4, "x", None)], "id long, source_text string, target_text string")
     assert [r.id for r in queue.poisoned_entries(cache).collect()] == [1]

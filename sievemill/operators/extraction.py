@@ -17,7 +17,8 @@ REFERENCE = r"^(?:\[[0-9]+\]\s*)?([^(),;]+?)(?:[,;][^()]*| et al\.?| (?:and|&) [
 def reference_lines(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines that may be references, with or without a DOI: ``id, line_no, line``."""
     lines = reviews.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    return lines.where(F.col("line").contains("10.") | F.col("line").rlike(REFERENCE))
+    line = F.col("line")
+    return lines.where(line.contains("10.") | (line.contains("). ") & line.rlike(REFERENCE)))
 
 
 def included_studies(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
@@ -12,6 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import read_table, spread
+from ..storage import discard, shared_dir, stored, stored_alone
+
+__all__ = ["arrow_map", "discard", "join_keyed", "lower_az", "read_table", "shared_dir", "spread", "stored", "stored_alone", "text_bytes", "unused"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word is a run of characters that are none of these: space, tab, LF, VT, FF, CR.
@@ -45,29 +49,48 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A temporary one is made only where none is set."""
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-sievemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: A key with so many rows is hot; where that leaves more than HOT_KEYS hot keys, more rows are needed.
+HOT_ROWS, HOT_KEYS = 1_000, 100_000
+#: Rows up to which nothing is split: any task holds them.
+FEW_ROWS = 20_000
+SIDES = 4096
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, and outlives lost executors.
+def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table of one row a key, safe against keys that hold a large share of the rows.
 
-    Whoever owns the shared folder clears it once the result has been read.
+    weight: the column of ``keyed`` that says how many of the ``total`` rows have the key; it isn't
+    returned. Hot keys go to every task: their number is bounded, as each has total / HOT_KEYS rows or
+    more. Rows of hot keys, and rows with a null key, meet nothing in the shuffle that joins the others,
+    and are dealt evenly over it. how: inner or left.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    keys = [key] if isinstance(key, str) else key
+    adds = [c for c in keyed.columns if c not in keys and c != weight]
+    if total <= FEW_ROWS:
+        return rows.join(keyed.drop(weight), keys, how).select(*rows.columns, *adds)
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    far = keyed.select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(keys)], F.struct(F.lit(True).alias("__"), *adds).alias("__far"), F.col(weight).alias("__rows"))
+    same = [F.col(k) == F.col(f"__{i}") for i, k in enumerate(keys)]
+    hot = F.broadcast(far.where(F.col("__rows") >= least).withColumnRenamed("__far", "__near").drop("__rows"))
+    met = rows.join(hot, same, "left").drop(*[f"__{i}" for i in range(len(keys))])
+    aside = F.col("__near").isNotNull()
+    for k in keys:
+        aside = aside | F.col(k).isNull()
+    met = met.withColumn("__side", F.when(aside, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SIDES))).otherwise(F.lit(0)).cast("int"))
+    # Always 0, but no constant: a constant side would not be a key of the join.
+    cold = far.where(F.col("__rows") < least).withColumn("__zero", F.when(F.col("__rows") < 0, 1).otherwise(0)).drop("__rows")
+    both = met.join(cold, [*same, F.col("__side") == F.col("__zero")], "left").withColumn("__found", F.coalesce("__near", "__far"))
+    if how == "inner":
+        both = both.where(F.col("__found").isNotNull())
+    return both.select(*rows.columns, *[F.col("__found")[c].alias(c) for c in adds])
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import arrow_map, stored
+from .shared import arrow_map, join_keyed, spread, stored, unused
 from .shingles import mix, overlap, shingle_sets
 
 BANDS, ROWS, BITS = 32, 4, 2
@@ -120,7 +120,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Set size, set name, band keys and packed signature of every text."""
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _sign, _SIGNED)
+    return arrow_map(spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))), _sign, _SIGNED)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +145,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of ids whose full shingle sets are similar enough.
 
-    texts: ``doc_id, text``, one row an id. A leader's text goes once to each group of its members.
+    texts: ``doc_id, text``, one row an id. A leader's text goes once to each group of its members; of
+    very many members there are as many groups as members in one.
     """
-    counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    salted = stored(pairs.join(counted, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)).alias("salt")), "pairs")
+    pairs = stored(pairs, "candidates")
+    counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("groups", F.ceil(F.col("n") / F.greatest(F.lit(float(GROUP)), F.sqrt("n"))))
+    salted = join_keyed(pairs, counted, "a", "n", pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"))
+    salted = stored(salted, "pairs")
     wanted = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.col("b").alias("member")).unionByName(
         salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(None).cast("long").alias("member")).distinct()
     )
@@ -274,10 +277,10 @@ def _links(cut: int, percent: int, slab: int = 256):
 
 
 def _left_over(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Bucket members of which the bucket has several components, the leader aside: it has met all others."""
+    """Bucket members of which the bucket has several components, the leader aside: it has met all others. members: stored."""
     now = members.where("doc_id <> leader").join(component, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    return now.join(split, "bucket", "left_semi").select("bucket", "doc_id", "comp")
+    split = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("bucket", "n")
+    return join_keyed(now, split, "bucket", "n", members.count()).select("bucket", "doc_id", "comp")
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -304,8 +307,8 @@ def _in_blocks(rest: DataFrame, sketch: DataFrame) -> DataFrame:
     met = parts.alias("p").join(parts.alias("q"), F.expr("p.bucket = q.bucket AND p.part_name <= q.part_name AND (p.own IS NULL OR NOT p.own <=> q.own)"))
     met = met.select(F.col("p.bucket").alias("bucket"), F.col("p.part_name").alias("p"), F.col("q.part_name").alias("q"))
     met = stored(met.withColumn("block", F.xxhash64("bucket", "p", "q")), "meetings")
-    of = own.select("bucket", "comp", "own").join(pools.select("bucket", F.col("own").alias("own_"), "parts").withColumnRenamed("bucket", "bucket_"), F.expr("bucket = bucket_ AND own <=> own_"))
-    placed = rows.join(of.select("bucket", "comp", "own", "parts"), ["bucket", "comp"])
+    of = own.select("bucket", "comp", "own", "k").join(pools.select("bucket", F.col("own").alias("own_"), "parts").withColumnRenamed("bucket", "bucket_"), F.expr("bucket = bucket_ AND own <=> own_"))
+    placed = join_keyed(rows, of.select("bucket", "comp", "own", "parts", "k"), ["bucket", "comp"], "k", rest.count())
     placed = placed.withColumn("part_name", name(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))).drop("own", "parts")
     ends = met.select("bucket", F.col("p").alias("part_name"), "block", F.lit(0).alias("side")).unionByName(
         met.where("p <> q").select("bucket", F.col("q").alias("part_name"), "block", F.lit(1).alias("side"))
@@ -326,20 +329,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     cut = least_matches(percent)
     sig = stored(signatures(docs, id_col, text_col), "signatures")
+    total = sig.count()
     full = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    copies = stored(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "classes")
-    classed = full.join(copies, ["set_hi", "set_lo"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    reps = classed.where("doc_id = rep")
+    copies = stored(full.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1"), "classes")
+    reps = join_keyed(full.select("doc_id", "set_hi", "set_lo"), copies, ["set_hi", "set_lo"], "n", total, "left").where("rep IS NULL OR rep = doc_id")
+    reps = stored(full.join(reps.select("doc_id", "set_hi", "set_lo").distinct(), ["doc_id", "set_hi", "set_lo"], "left_semi"), "leaders")
     banded = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = banded.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader <> last").select("bucket", "leader")
-    members = stored(banded.join(buckets, "bucket").distinct(), "buckets")
+    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n")).where("leader <> last")
+    members = stored(join_keyed(banded, shared.select("bucket", "leader", "n"), "bucket", "n", BANDS * total).distinct(), "buckets")
     sketch = reps.join(members.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["doc_id"])
     sketch = stored(sketch, "sketches")
-    texts = stored(_texts_of(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), sketch.select("doc_id")), "texts")
+    texts = stored(_texts_of(spread(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))), sketch.select("doc_id")), "texts")
 
-    led = members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    led = stored(members.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct(), "led")
     ends = [sketch.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"s_{x}")) for x in ("a", "b")]
-    close = led.join(ends[0], "a").join(ends[1], "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    of_leaders = ends[0].join(led.groupBy("a").agg(F.count(F.lit(1)).alias("led")), "a")
+    close = join_keyed(led, of_leaders, "a", "led", led.count()).join(ends[1], "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     links = stored(confirmed(close.where(matches(F.col("s_a"), F.col("s_b")) >= cut).select("a", "b"), texts, percent), "links")
     component = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
 
@@ -354,15 +359,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = links.unionByName(stored(more, "links"))
             component = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("comp"))
 
-    by_set = copies.join(component, copies.rep == component.doc_id, "left").select("set_hi", "set_lo", F.coalesce("comp", "rep").alias("c1"))
+    by_set = copies.join(component, copies.rep == component.doc_id, "left").select("set_hi", "set_lo", F.coalesce("comp", "rep").alias("c1"), "n")
     narrow = sig.select("doc_id", "n_shingles", "set_hi", "set_lo")
-    whole = narrow.where("n_shingles > 0 AND doc_id IS NOT NULL").join(by_set, ["set_hi", "set_lo"], "left").join(component, "doc_id", "left")
+    whole = join_keyed(narrow.where("n_shingles > 0 AND doc_id IS NOT NULL"), by_set, ["set_hi", "set_lo"], "n", total, "left").join(component, "doc_id", "left")
     whole = whole.select("doc_id", "n_shingles", F.coalesce("c1", "comp", "doc_id").alias("component_id"))
     alone = narrow.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return whole.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(stored(gone, "gone"), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stand for their component, with all their columns: those with the smallest ids.
+
+    Rows are numbered first, and linked by their numbers, so a row goes for its own text only, whatever
+    ids repeat or are null. A null id counts as the largest; of equal ids in a component one row stays.
+    Rows without words all stay. Columns may have any names.
+    """
+    number = unused(docs, "number")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, number, text_col, percent).select("doc_id", "component_id")
+    found = stored(found, "components")
+    # Components of one row need no choice.
+    several = found.where("doc_id <> component_id").select("component_id").distinct()
+    heads = found.join(several.withColumnRenamed("component_id", "doc_id"), "doc_id", "left_semi")
+    members = found.where("doc_id <> component_id").unionByName(heads)
+    ids = numbered.select(F.col(number).alias("doc_id"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull(), "id", "doc_id")
+    best = members.join(ids, "doc_id").groupBy("component_id").agg(F.min(order)["doc_id"].alias("doc_id"))
+    gone = stored(members.select("doc_id").join(best, "doc_id", "left_anti").select(F.col("doc_id").alias(number)), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return numbered.join(F.broadcast(gone) if few else gone, number, "left_anti").drop(number)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .minhash import _slices
 from .mixing import document_hash
-from .shared import arrow_map, stored, text_bytes
+from .shared import arrow_map, join_keyed, spread, stored, text_bytes, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: About so many declared texts of each language fit the trigram model.
@@ -127,14 +127,15 @@ def text_likelihoods(texts: DataFrame, model: np.ndarray, languages: Sequence[st
                 others = [part.column(k) for k in range(2, part.num_columns)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *others, pa.array(n), pa.array(fits), lists], [part.schema.names[0], *part.schema.names[2:], "grams", "fits", "ll"])
 
-    rows = texts.select("id", "text", "declared", "host", "site", "suffix")
+    rows = spread(texts.select("id", "text", "declared", "host", "site", "suffix"))
     return arrow_map(rows, run, f"id {rows.schema['id'].dataType.simpleString()}, declared string, host string, site string, suffix string, grams long, fits boolean, ll array<double>")
 
 
 def _counts(rows: DataFrame, column: str, languages: Sequence[str]) -> DataFrame:
-    """Text-only decisions by language, as an array, for each value of a column."""
-    sums = F.array(*[F.sum((F.col("by_text") == x).cast("double")) for x in languages])
-    return rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(f"{column}_value")).agg(sums.alias(f"{column}_n"))
+    """Text-only decisions by language, as an array, for each value of a column that a decided text has, and all rows of the value."""
+    sums = F.array(*[F.coalesce(F.sum((F.col("by_text") == x).cast("double")), F.lit(0.0)) for x in languages])
+    grouped = rows.where(F.col(column).isNotNull()).groupBy(column).agg(sums.alias(f"{column}_n"), F.count("by_text").alias("known"), F.count(F.lit(1)).alias("rows"))
+    return grouped.where("known > 0").drop("known")
 
 
 def _fusing(languages: Sequence[str], prior: np.ndarray, totals: dict[str, np.ndarray]):
@@ -178,18 +179,15 @@ def fuse(scored: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     scored = scored if "fits" in scored.columns else scored.withColumn("fits", F.lit(True))
     best = F.array_max(F.transform(F.col("ll"), lambda x, k: F.struct(x, -k)))["col2"]
     scored = stored(scored.withColumn("by_text", F.when((F.col("grams") > 0) & F.col("fits"), F.element_at(F.array(*map(F.lit, languages)), 1 - best))), "likelihoods")
-    known = scored.where("by_text IS NOT NULL")
-    total = {r["by_text"]: r["count"] for r in known.groupBy("by_text").count().collect()}
+    total = {r["by_text"]: r["count"] for r in scored.groupBy("by_text").count().collect()}
     prior = np.array([total.get(x, 0) + 1.0 for x in languages])
     totals, rows = {}, scored
-    for column in ("declared", "suffix"):
-        counts = stored(_counts(known, column, languages), f"{column}-counts")
-        sums = counts.agg(F.count(F.lit(1)), *[F.sum(F.col(f"{column}_n")[k]) for k in range(len(languages))]).first()
-        totals[column] = np.array([x or 0.0 for x in sums[1:]]) + sums[0] + 1.0
-        rows = rows.join(counts, F.col(column) == F.col(f"{column}_value"), "left")
-    # A host's rows may be very many; the other side has one row a host, so Spark may split them.
-    rows = rows.join(_counts(known, "site", languages), F.col("site") == F.col("site_value"), "left")
-    rows = rows.join(_counts(known, "host", languages), F.col("host") == F.col("host_value"), "left")
+    for column in ("declared", "suffix", "site", "host"):
+        counts = stored(_counts(scored, column, languages), f"{column}-counts")
+        if column in ("declared", "suffix"):
+            sums = counts.agg(F.count(F.lit(1)), *[F.sum(F.col(f"{column}_n")[k]) for k in range(len(languages))]).first()
+            totals[column] = np.array([x or 0.0 for x in sums[1:]]) + sums[0] + 1.0
+        rows = join_keyed(rows, counts, column, "rows", sum(total.values()), "left")
     rows = rows.select("id", "declared", "grams", "fits", "ll", "declared_n", "suffix_n", "site_n", "host_n")
     kind = rows.schema["id"].dataType.simpleString()
     return arrow_map(rows, _fusing(tuple(languages), prior / prior.sum(), totals), f"id {kind}, declared string, by_text string, lang string, posterior double")
@@ -203,8 +201,8 @@ def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: S
     empty or null one, or one that fits none of ``languages`` is ``und`` with posterior 0 and is not kept. kept: the language is one of
     ``accepted`` (all, if not given) with a posterior of at least ``least``. Equal scores go to the
     first language. Rows that repeat each get their answer, also under a null id. Other columns play
-    no part. An empty table gives an empty one. Hosts with very many rows are joined by shuffle with
-    one row on the other side, where Spark may split the many.
+    no part. An empty table gives an empty one. Counts of values that very many rows share reach those
+    rows by broadcast, the others by shuffle.
     """
     texts = texts.select("id", "text", "declared", "host", "site", "suffix")
     model = trigram_model(texts, languages, sample, by)
@@ -214,22 +212,30 @@ def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: S
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
-    """Input of `identify` from documents: the lang column is what was declared, the source is the host."""
-    nothing = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").alias("id"), "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), nothing.alias("site"), nothing.alias("suffix"))
+    """Input of `identify` from documents: the lang column is what was declared, the source is the host. Site and suffix come from a ``url`` column, if there is one."""
+    return docs.select(F.col("doc_id").alias("id"), "text", *_evidence(docs))
+
+
+def _address(url: Column) -> tuple[Column, Column, Column]:
+    """Host, site (its last two labels) and suffix of an address; null where there is none."""
+    host = F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#:]*)", 1))
+    labels = F.split(host, r"\.")
+    site = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
+    return tuple(F.nullif(x, F.lit("")) for x in (host, site, F.element_at(labels, -1)))
+
+
+def _evidence(docs: DataFrame) -> list[Column]:
+    url = F.col("url").cast("string") if "url" in docs.columns else F.lit(None).cast("string")
+    _, site, suffix = _address(url)
+    return [F.lower("lang").alias("declared"), F.col("source").alias("host"), site.alias("site"), suffix.alias("suffix")]
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
     """Input of `identify` from pages: visible text, the markup's lang, and the address's host, site and suffix."""
     visible = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[a-zA-Z#0-9]+;", " ")
     declared = F.lower(F.regexp_extract("html", r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]+)", 1))
-    host = F.lower(F.regexp_extract("url", r"(?s)^.*?://([^/?#:]*)", 1))
-    labels = F.split(host, r"\.")
-    return pages.select(
-        F.col("page_id").alias("id"), visible.alias("text"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"),
-        F.nullif(F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."), F.lit("")).alias("site"),
-        F.nullif(F.element_at(labels, -1), F.lit("")).alias("suffix"),
-    )
+    host, site, suffix = _address(F.col("url"))
+    return pages.select(F.col("page_id").alias("id"), visible.alias("text"), F.nullif(declared, F.lit("")).alias("declared"), host.alias("host"), site.alias("site"), suffix.alias("suffix"))
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
@@ -237,20 +243,31 @@ def identify_documents(docs: DataFrame) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-def _row_key() -> Column:
+def _row_key(docs: DataFrame) -> Column:
     """A digest of all that a document's decision depends on, and of its id."""
-    parts = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in ("`doc_id`", "lang", "source", "text")]
+    columns = ["doc_id", "lang", "source", "text", *(["url"] if "url" in docs.columns else [])]
+    parts = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in columns]
     return F.sha2(F.concat_ws(" ", *parts), 256)
 
 
+#: Rejected rows' digests up to which they are broadcast.
+BROADCAST_ROWS = 200_000
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is known well enough, with all their columns.
 
-    Rows are told apart by id, language, source and text together, as ids may repeat or be null.
+    Rows are told apart by id, language, source, text (and address, if there is one) together, as ids
+    may repeat or be null: a rejected row takes no other with it. Other columns may have any names.
     """
-    nothing = F.lit(None).cast("string")
-    texts = docs.select(
-        F.struct(F.col("doc_id"), _row_key().alias("key")).alias("id"), "text", F.lower("lang").alias("declared"), F.col("source").alias("host"), nothing.alias("site"), nothing.alias("suffix")
-    )
-    gone = identify(texts, by="id.doc_id").where("NOT kept").select(F.col("id.key").alias("__gone")).distinct()
-    return docs.join(stored(gone, "rejected"), _row_key() == F.col("__gone"), "left_anti")
+    key = unused(docs, "key")
+    texts = docs.select(F.struct("doc_id", _row_key(docs).alias("key")).alias("id"), "text", *_evidence(docs))
+    found = identify(texts, by="id.doc_id").where("NOT kept").groupBy(F.col("id.key").alias(key)).agg(F.count(F.lit(1)).alias("rows"))
+    gone = stored(found, "rejected")
+    keyed = docs.withColumn(key, _row_key(docs))
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(gone.select(key)), key, "left_anti").drop(key)
+    # Rejected rows that repeat very often must not meet in one task.
+    rows = keyed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"))
+    gone = gone.select(F.col(key).alias("key"), F.lit(True).alias("gone"), "rows")
+    return join_keyed(rows, gone, "key", "rows", gone.agg(F.sum("rows")).first()[0], "left").where("gone IS NULL").select("row.*")

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.extraction import TAG, attribute
 from .components import connected_components
 from .shared import lower_az, stored
 
@@ -26,10 +27,8 @@ class Rule(NamedTuple):
 INLINE_RULES = 64
 #: Query fields that only say where a reader came from.
 TRACKING = r"^(utm_[A-Za-z]+|gclid|fbclid|ref)(=|$)"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: Target of a refresh, in the content of its tag.
+REFRESH_URL = r"(?i)^\s*[0-9.]*\s*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"'\s>]+)"
 
 
 def url_host(url: Column) -> Column:
@@ -48,17 +47,52 @@ def url_node(url: Column) -> Column:
     return F.when(url_host(url) != "", node)
 
 
-def declared_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (a, b) between names, from canonical links and refresh redirects in the pages' markup."""
-    found = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(F.col("html").rlike("(?i)canonical|http-equiv"))
-    links = F.array(
-        F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract("html", REFRESH, 0), REFRESH_URL, 1),
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. steps taken."""
+    parts = F.split(path, "/")
+    size = F.size(parts)
+    kept = F.aggregate(
+        F.slice(parts, 2, F.greatest(size - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """A link's target as a whole URL, seen from the page at ``base``; character references of & are read.
+
+    Null for targets of other schemes (mailto and the like), for places on the page itself, and where
+    the base has no "://".
+    """
+    target = F.regexp_replace(F.trim(target), "(?i)&(amp|#38|#x26);", "&")
+    scheme = F.regexp_extract(base, r"(?s)^(.*?):\/\/", 1)
+    root = F.regexp_extract(base, r"(?s)^(.*?:\/\/[^/?#]*)", 1)
+    path, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(url_path(base), r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    return (
+        F.when((target == "") | target.startswith("#") | (root == ""), F.lit(None).cast("string"))
+        .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("?"), F.concat(root, url_path(base), target))
+        .when(target.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, path)), rest))
     )
-    to = found.select("url", F.explode(links).alias("to")).where("to <> ''")
-    root = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    full = F.when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to"))).when(F.col("to").startswith("/"), F.concat(root, F.col("to"))).otherwise(F.col("to"))
-    return to.select(url_node(F.col("url")).alias("a"), url_node(full).alias("b")).where("a <> b")
+
+
+def declared_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Edges (a, b) between names, from all canonical links and refresh redirects in the pages' markup.
+
+    Attributes may stand in any order and quoting; a link is canonical if one of its relations is.
+    """
+    found = pages.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").alias("html")).where(F.col("html").rlike("(?i)canonical|http-equiv"))
+    tags = [F.regexp_extract_all("html", F.lit(TAG.format(t)), F.lit(0)) for t in ("link", "meta")]
+    links = F.filter(tags[0], lambda t: F.array_contains(F.split(F.lower(attribute(t, "rel")), r"\s+"), "canonical"))
+    refreshes = F.filter(tags[1], lambda t: F.lower(attribute(t, "http-equiv")) == "refresh")
+    targets = F.concat(F.transform(links, lambda t: attribute(t, "href")), F.transform(refreshes, lambda t: F.regexp_extract(attribute(t, "content"), REFRESH_URL, 1)))
+    to = found.select("url", F.explode(targets).alias("to"))
+    return to.select(url_node(F.col("url")).alias("a"), url_node(resolved(F.col("url"), F.col("to"))).alias("b")).where("a <> b")
 
 
 def _rule_columns(rows: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -87,7 +121,7 @@ def judge_urls(
     (host and path together) decides, and of two equally long ones the one that allows. A URL that no
     rule fits takes allow if a rule allows one of its aliases, else block if a rule blocks one, else
     ``default``. Aliases are the URLs of one name (`url_node`) and names joined by canonical links and
-    refreshes in ``html_col`` or by rows (from_url, to_url) of ``redirects``. A null URL, or one without
+    refreshes in ``html_col``, read as `declared_edges` does, or by rows (from_url, to_url) of ``redirects``. A null URL, or one without
     "://", has empty host and path, fits no rule and has no alias. Repeated rows and null ids pass
     through; other columns play no part. An empty table gives an empty one.
     """

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import _slices
-from .shared import arrow_map
+from .shared import arrow_map, spread
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, DATA_PID, PROGRAM = 0x1000, 0x0100, 1
@@ -257,7 +257,7 @@ def stored_payloads(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 media = [write_stream(t + bytes(max(PADDED, -(-len(t) // PADDED) * PADDED) - len(t))) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
     return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
@@ -265,8 +265,10 @@ def media_features(media: DataFrame) -> DataFrame:
     """What the stored bytes of `stored_payloads` give when read back, one row per row.
 
     Returns ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature``. The feature names packets, elementary packets, random-access points, first and last
-    time stamp, and errors. A null or damaged value gives what could be read of it.
+    feature, access_units, access_pts``. The feature names packets, elementary packets, random-access
+    points, first and last time stamp, and errors; access_units and access_pts list the random-access
+    points by the number of their elementary packet and their time stamp. A null or damaged value gives
+    what could be read of it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,18 +276,18 @@ def media_features(media: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in _slices(batch, 2):
-                out: list[list] = [[] for _ in range(6)]
+                out: list[list] = [[] for _ in range(8)]
                 for value in part.column(2).to_pylist():
                     value = value or b""
                     read = read_stream(value)
                     payload = b"".join(u.data for u in read.units if u.pid == DATA_PID)
                     times = [u.pts for u in read.units if u.pts is not None] or [-1]
-                    points = [u.pts for u in read.units if u.random_access]
+                    points = [(k, u.pts) for k, u in enumerate(read.units) if u.random_access]
                     feature = f"packets={read.packets};units={len(read.units)};access={len(points)};pts={times[0]}-{times[-1]};programs={len(read.programs)};streams={len(read.streams)};errors={read.counter_errors + read.table_errors + read.sync_losses}"
-                    for column, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PADDED:]), len(value), hashlib.sha256(value).hexdigest(), feature)):
+                    for column, v in zip(out, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PADDED:]), len(value), hashlib.sha256(value).hexdigest(), feature, [k for k, _ in points], [t for _, t in points])):
                         column.append(v)
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "access_units", "access_pts"])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, access_units array<long>, access_pts array<long>")

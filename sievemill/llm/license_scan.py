@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from .license_templates import Template, licenses
 from .minhash import _slices
-from .shared import arrow_map, text_bytes
+from .shared import arrow_map, spread, text_bytes
 from .shingles import LETTERS, SHINGLE, mix, place_mix, word_hashes
 
 BANDS = 24
 CONTAINED = 0.75
+#: The tag by which a source file names its license, and its expression.
+SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9.+-]+\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9.+-]+\)*)*)")
 _ODD = np.random.Generator(np.random.PCG64(23)).integers(1, 2**31, BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 # A short table of wordings, held against an exact scan. The whole one is `licenses`.
@@ -215,13 +217,14 @@ class Scanner:
 
 
 def scan_licenses(docs: DataFrame, templates: Mapping[str, str | Template] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """License templates in every whole text, one row per row: ``doc_id, n_licenses, licenses, places, contained``.
+    """License templates in every whole text, one row per row: ``doc_id, n_licenses, licenses, places, contained, spdx``.
 
     licenses: names of the templates (those of `licenses`, if none are given) of whose five-word
     shingles the text holds at least three quarters close together, with the phrases the template
     needs, in order, joined by commas, empty if there are none. Of overlapping ones the best is named. places and contained
     list, in the same order, the word at which the best match starts and the share of shingles it
-    holds. Null and empty texts hold nothing. Repeated rows and null ids get their answer; other
+    holds. spdx lists the expressions of SPDX tags, which are too short for shingles, in order and as they
+    stand. Null and empty texts hold nothing. Repeated rows and null ids get their answer; other
     columns play no part. An empty table gives an empty one. The templates go to the tasks with the
     code; their number is that of the licenses known, not of the data.
     """
@@ -239,9 +242,10 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, str | Template] | Non
                     [
                         part.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([",".join(n for n, _, _ in x) for x in found], pa.string()),
                         pa.array([[p for _, p, _ in x] for x in found], pa.list_(pa.int64())), pa.array([[c for _, _, c in x] for x in found], pa.list_(pa.float64())),
+                        pa.array([SPDX.findall(t or "") for t in part.column(1).to_pylist()], pa.list_(pa.string())),
                     ],
-                    ["doc_id", "n_licenses", "licenses", "places", "contained"],
+                    ["doc_id", "n_licenses", "licenses", "places", "contained", "spdx"],
                 )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_licenses long, licenses string, places array<long>, contained array<double>")
+    rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_licenses long, licenses string, places array<long>, contained array<double>, spdx array<string>")

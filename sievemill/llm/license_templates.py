@@ -89,11 +89,11 @@ _TITLES = {
 }
 #: Licenses named with a version: names, versions as (key, written).
 _NAMED = [
-    ("GPL", ("GNU General Public License", "GNU GPL"), (("1.0", "1"), ("2.0", "2"), ("3.0", "3"))),
-    ("LGPL", ("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL"), (("2.0", "2"), ("2.1", "2.1"), ("3.0", "3"))),
-    ("AGPL", ("GNU Affero General Public License", "GNU AGPL"), (("3.0", "3"),)),
+    ("GPL", ("GNU General Public License", "GNU GPL", "GPL"), (("1.0", "1"), ("2.0", "2"), ("3.0", "3"))),
+    ("LGPL", ("GNU Lesser General Public License", "GNU Library General Public License", "GNU LGPL", "LGPL"), (("2.0", "2"), ("2.1", "2.1"), ("3.0", "3"))),
+    ("AGPL", ("GNU Affero General Public License", "GNU AGPL", "AGPL"), (("3.0", "3"),)),
     ("GFDL", ("GNU Free Documentation License",), (("1.1", "1.1"), ("1.2", "1.2"), ("1.3", "1.3"))),
-    ("Apache", ("Apache License", "Apache Software License"), (("1.0", "1.0"), ("1.1", "1.1"), ("2.0", "2.0"))),
+    ("Apache", ("Apache License", "Apache Software License", "Apache"), (("1.0", "1.0"), ("1.1", "1.1"), ("2.0", "2.0"))),
     ("MPL", ("Mozilla Public License",), (("1.0", "1.0"), ("1.1", "1.1"), ("2.0", "2.0"))),
     ("EPL", ("Eclipse Public License",), (("1.0", "1.0"), ("2.0", "2.0"))),
     ("CDDL", ("Common Development and Distribution License",), (("1.0", "1.0"), ("1.1", "1.1"))),
@@ -139,6 +139,7 @@ def licenses() -> dict[str, Template]:
                     bars = tuple(f"{said} {form}.{d}" for d in range(1, 10)) if "." not in form else ()
                     add(f"{family}-{key}", f"Licensed under the {name}, {form}", (f"{name} {form}",), bars)
                     add(f"{family}-{key}", f"Released under the {name}, {form}", (f"{name} {form}",), bars)
+                    add(f"{family}-{key}", f"Distributed under the {name}, {form}", (f"{name} {form}",), bars)
                     add(f"{family}-{key}", f"This work is licensed under the {name}, {form}.", (f"{name} {form}",), bars)
                     add(f"{family}-{key}", f"under the terms of the {name}, {form}", (f"{name} {form}",), bars)
     for key, names in _PLAIN.items():
@@ -195,6 +196,7 @@ def licenses() -> dict[str, Template]:
     add("BSL-1.0-text", _BSL)
     add("Zlib-text", _ZLIB)
     add("Unlicense-text", _UNLICENSE)
+    add("Unlicense-text", "This is free and unencumbered software released into the public domain.")
     add("WTFPL-2.0-text", _WTFPL)
     for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
         add(file.stem, file.read_text(encoding="utf-8"), (_TITLES[file.stem.removesuffix("-text")],))

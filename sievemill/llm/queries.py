@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
 from .language_id import identify, identify_documents, of_pages
@@ -15,7 +16,7 @@ from .packing import pack
 from .shared import read_table
 from .token_counts import count_tokens
 from .toxicity import classify
-from .transport_stream import media_features, stored_payloads
+from .transport_stream import access_units, media_features, stored_payloads
 from .url_filters import Rule, judge_urls
 
 NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,6 +95,66 @@ LEFT JOIN heard h ON h.component = g.component
 """
 
 
+def _linked_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every page joined to the first of its four by a canonical link, a refresh or a redirect row, and a second page that names it by a relative link."""
+    pages = read_table(spark, sf_dir, "pages")
+    heads = pages.where("page_id % 4 = 0").selectExpr("page_id AS head", "url AS head_url")
+    four = pages.join(heads, F.expr("head = page_id - page_id % 4"), "left")
+    mine = four.selectExpr(
+        "page_id", "url",
+        """concat(CASE page_id % 4 WHEN 1 THEN concat('<link rel=icon href=/i><LINK HREF="', replace(head_url, '&', '&amp;'), '" rel="nofollow Canonical">')
+                  WHEN 2 THEN concat('<meta content="0; URL=', head_url, '" http-equiv=Refresh>') ELSE '' END, html) AS html""",
+    )
+    second = pages.selectExpr(
+        "page_id + 10000000 AS page_id", r"concat(regexp_extract(url, '^(.*?://[^/?#]*)', 1), '/alias/', page_id) AS url",
+        r"""concat("<link href='../", CASE WHEN page_id % 2 = 0 THEN './' ELSE 'x/../' END, replace(regexp_extract(url, '^.*?://[^/?#]*/?(.*)', 1), '&', '&amp;'), "' rel=canonical>") AS html""",
+    )
+    return mine.unionByName(second), four.where("page_id % 4 = 3").selectExpr("url AS from_url", "head_url AS to_url")
+
+
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, redirects = _linked_pages(spark, sf_dir)
+    return judge_urls(pages, URL_RULES, redirects)
+
+
+_start, _rest = OP1_SQL.split("), urls AS (")
+_middle = _rest[_rest.index("), parts AS (") : _rest.index("), declared AS (")]
+#: The same rules over all linked pages. Which page names which is known here, so no markup is read.
+ALIASES_SQL = (
+    _start
+    + r"""), linked AS (
+  SELECT page_id, url FROM pages
+  UNION ALL
+  SELECT page_id + 10000000, regexp_extract(url, '^(.*?://[^/?#]*)', 1) || '/alias/' || page_id FROM pages
+), urls AS (
+  SELECT DISTINCT url FROM linked
+"""
+    + _middle
+    + """), declared AS (
+  SELECT p.url, h.url AS target FROM pages p JOIN pages h ON h.page_id = p.page_id - p.page_id % 4
+  UNION
+  SELECT a.url, p.url FROM linked a JOIN pages p ON a.page_id = p.page_id + 10000000
+"""
+    + _rest[_rest.index("), edges AS (") :].replace("FROM pages", "FROM linked")
+)
+
+
+def media_access_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elementary packets of all stored texts, with their time stamps and random-access points."""
+    units = access_units(stored_payloads(read_table(spark, sf_dir, "documents")), "doc_id", "media")
+    return units.select(F.col("id").alias("doc_id"), "unit", "pts", "random_access", F.length("data").cast("long").alias("bytes"))
+
+
+UNITS_SQL = """
+WITH sizes AS (
+  SELECT doc_id, greatest(64, (strlen(coalesce(text, '')) + 63) // 64 * 64) AS n FROM documents
+), units AS (
+  SELECT doc_id, n, unnest(range(0, (n + 16383) // 16384)) AS unit FROM sizes
+)
+SELECT doc_id, unit, unit * 3600 AS pts, unit % 4 = 0 AS random_access, least(16384, n - unit * 16384) AS bytes FROM units
+"""
+
+
 def op2_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(stored_payloads(read_table(spark, sf_dir, "documents")))
 
@@ -121,7 +182,7 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:15])::BIGINT AS h
+         ('0x' || md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), ''))[1:15])::BIGINT AS h
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -205,6 +266,8 @@ WINDOW w AS (PARTITION BY norm)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "url_aliases": url_aliases,
+    "media_access_units": media_access_units,
     "op2_transport_streams": op2_transport_streams,
     "op3_language_id": op3_language_id,
     "language_id_pages": language_id_pages,
@@ -218,6 +281,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
+    "url_aliases": ALIASES_SQL,
+    "media_access_units": UNITS_SQL,
     "op6_source_mixing": OP6_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,

@@ -1,8 +1,8 @@
 """Packing along a space-filling curve.
 
 A text's token ids are counted into hashed cells; the unit vector is projected to four dimensions and
-its cell on a Hilbert curve is the sort key. Documents are dealt by ranges of the key, ties by id, so
-a large group of equal texts is split like any other rows. Each range is sorted, its documents laid
+its cell on a Hilbert curve is the sort key. Documents, long ones in several rows, are dealt by ranges
+of the key, ties by id, so a large group of equal texts is split like any other rows. Each range is sorted, its documents laid
 end to end and cut every 2,048 tokens. What is left over at a range's end is cut to powers of two, so
 no sequence needs padding.
 """
@@ -20,12 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import _slices
-from .shared import arrow_map, stored
+from .shared import arrow_map, spread, stored
 from .token_counts import byte_alphabet
 
 LENGTH = 2048
 END = 1
 CELLS, DIMS, DEPTH = 1024, 4, 15
+#: Tokens of a document that travel in one row, so that ranges of rows are about as even in bytes.
+CHUNK = 1 << 12
+#: Bytes of ids a range holds, and the number of ranges beyond which they grow instead.
+RANGE_BYTES, RANGES = 16 << 20, 50_000
 #: Fixed by the vocabulary's own pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -87,7 +91,7 @@ _coders: dict[str, TokenIds] = {}
 
 
 def tokenized(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, key, ids`` of every text: its place on the curve, and its 16-bit ids with the end token."""
+    """``doc_id, key, start, tokens, ids`` of every text: its place on the curve, its length, and its 16-bit ids with the end token in rows of `CHUNK` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute  # noqa: F401
@@ -105,10 +109,17 @@ def tokenized(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col
                     counts = np.bincount(cell[np.frombuffer(x, "<u2")], minlength=CELLS).astype(float)
                     at[i] = counts @ _PROJECTION / np.sqrt(counts @ counts)
                 cells = (2**DEPTH / (1 + np.exp(-1.702 * at))).astype(np.int64).clip(0, 2**DEPTH - 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert_key(cells)), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+                tokens = np.array([len(x) // 2 for x in ids])
+                rows = -(-tokens // CHUNK)
+                of = pa.array(np.repeat(np.arange(len(ids)), rows))
+                start = (np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)) * CHUNK
+                cut = pa.array([x[k : k + 2 * CHUNK] for x in ids for k in range(0, len(x), 2 * CHUNK)], pa.binary())
+                whole = [part.column(0), pa.array(hilbert_key(cells)), pa.array(tokens, pa.int64())]
+                doc, key, n = (c.take(of) for c in whole)
+                yield pa.RecordBatch.from_arrays([doc, key, pa.array(start, pa.int64()), n, cut], ["doc_id", "key", "start", "tokens", "ids"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, ids binary")
+    rows = spread(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")))
+    return arrow_map(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, key long, start long, tokens long, ids binary")
 
 
 _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -136,11 +147,11 @@ def _pack(length: int):
         filled = 0
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, first, total, data in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
                 ids, start = np.frombuffer(data.as_buffer(), "<u2"), 0
                 while start < len(ids):
                     part = ids[start : start + length - filled]
-                    held.append((doc, start, part.copy() if filled + len(part) < length else part, len(ids)))
+                    held.append((doc, first + start, part.copy() if filled + len(part) < length else part, total))
                     filled += len(part)
                     start += len(part)
                     if filled == length:
@@ -172,9 +183,12 @@ def pack(docs: DataFrame, vocab_path: str, length: int = LENGTH, id_col: str = "
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. A null or empty text
     is one document of just the end token. Every row of ``docs`` is packed, rows that repeat an id too;
-    a null id passes through. Other columns play no part. An empty table gives an empty one.
+    a null id passes through. Other columns play no part. An empty table gives an empty one. The number
+    of ranges follows from the bytes of all ids, so a task's share doesn't grow with the table.
     """
     ids = stored(tokenized(docs, vocab_path, id_col, text_col), "tokens")
     kind = ids.schema["doc_id"].dataType.simpleString()
-    ranged = ids.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "ids")
+    held = 2 * (ids.agg(F.sum(F.least(F.col("tokens") - F.col("start"), F.lit(CHUNK)))).first()[0] or 0)
+    ranges = min(RANGES, max(1, -(-held // RANGE_BYTES)))
+    ranged = ids.repartitionByRange(ranges, "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start").select("doc_id", "start", "tokens", "ids")
     return arrow_map(ranged, _pack(length), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _PIECES[1:]))

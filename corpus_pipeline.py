@@ -6,6 +6,8 @@ stage takes all rows its predecessor left; the last returns pieces of sequences.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemill.llm.exact_dedup import deduplicate
@@ -14,26 +16,26 @@ from sievemill.llm.minhash import drop_near_duplicates
 from sievemill.llm.mixing import mixed_documents
 from sievemill.llm.packing import pack
 from sievemill.llm.queries import vocabulary
-from sievemill.llm.shared import read_table, stored
+from sievemill.llm.shared import read_table, stored_alone
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language is unknown go."""
+    """Texts whose language is unknown go. A row is judged by itself, whatever ids repeat or are null."""
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the one with the largest id stays."""
+    """Of texts that are equal but for the case of A-Z, the one with the largest id stays; a null id is the smallest, and of equal ids one row stays. A null text is an empty one."""
     return deduplicate(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near duplicates and what they link, the one with the smallest id stays."""
+    """Of near duplicates and what they link, the one with the smallest id stays; a null id is the largest, and of equal ids one row stays. Rows without words stay."""
     return drop_near_duplicates(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document is there as often as the mix takes it: none, once or twice."""
+    """A document is there as often as the mix takes it: none, once or twice; rows of one id go by their own source, and those without words go."""
     return mixed_documents(docs)
 
 
@@ -57,5 +59,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored_alone(spark, partial(stage, spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_duplicates
 from .language_id import identify, identify_documents, of_pages
 from .license_scan import scan_licenses
+from .manifest_queries import ORACLES as MANIFEST_ORACLES
+from .manifest_queries import QUERIES as MANIFEST_QUERIES
 from .minhash import near_duplicates
 from .mixing import mix
 from .packing import pack
@@ -278,7 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
-}
+} | MANIFEST_QUERIES
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
     "url_aliases": ALIASES_SQL,
@@ -286,4 +288,4 @@ ORACLES: dict[str, str] = {
     "op6_source_mixing": OP6_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
-}
+} | MANIFEST_ORACLES

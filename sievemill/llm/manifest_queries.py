@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .main_text import main_texts
 from .merkle import verified_documents
+from .prefix_trie import conversation_trie
 from .shared import read_table
 
 #: DuckDB has no crc32: the usual table of 256 remainders, as a list.
@@ -78,9 +80,52 @@ SELECT r.doc_id, r.leaf, s.h AS subroot, t.h AS root, sha256(u.proof) AS proof_s
 FROM rows r JOIN n_last s ON s.g = r.g JOIN u{TOP_LEVELS - 1} u ON u.row = r.row CROSS JOIN t_last t
 """
 
+
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(read_table(spark, sf_dir, "pages"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = f"""
+WITH {CRC}, turns AS (
+  SELECT conv_id, length(coalesce(text, '')) AS size, id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS k
+  FROM (SELECT *, left(sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 32) AS id FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, {crc32_sql('conv_id')} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns), crc
+), rebuilt AS (
+  SELECT c.conv_id, t.k, t.id, t.size FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.k <= c.h
+  UNION ALL
+  SELECT c.conv_id, t.k, t.id, t.size FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.k > c.h
+), paths AS (
+  SELECT conv_id, row_number() OVER w AS d, size, string_agg(id, '') OVER w AS path FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+  UNION ALL
+  SELECT conv_id, 0, 0, '' FROM convs
+), nodes AS (
+  SELECT path, d, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n FROM paths GROUP BY path, d
+), ends AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS digest
+  FROM (SELECT *, max(d) OVER (PARTITION BY conv_id) AS last FROM paths) WHERE d = last GROUP BY path
+), kids AS (
+  SELECT left(path, 32 * (d - 1)) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL
+), below AS (
+  SELECT a.path, sum((m.n - 1) * m.size) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM nodes m LEFT JOIN kids k ON k.path = m.path JOIN paths a ON a.conv_id = m.conv_id AND a.d <= m.d GROUP BY a.path
+)
+SELECT m.conv_id, m.d AS depth, CASE WHEN m.d > 0 THEN u.conv_id END AS parent_conv_id, m.n AS n_convs, coalesce(k.n, 0) AS n_children,
+       b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, coalesce(e.digest, sha256('')) AS ends_sha256
+FROM nodes m JOIN below b ON b.path = m.path LEFT JOIN kids k ON k.path = m.path LEFT JOIN ends e ON e.path = m.path
+LEFT JOIN nodes u ON u.d = m.d - 1 AND u.path = left(m.path, 32 * (m.d - 1))
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_html_extraction": op12_html_extraction,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES: dict[str, str] = {
     "op11_merkle_manifest": OP11_SQL,
+    "op13_conversation_trie": OP13_SQL,
 }

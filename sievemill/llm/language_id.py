@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .language_seeds import SEEDS
 from .minhash import _slices
 from .mixing import document_hash
 from .shared import arrow_map, join_keyed, spread, stored, text_bytes, unused
@@ -32,6 +33,8 @@ LEAST = 0.5
 #: A trigram of a text must be likelier by so much in its best language than among letters in any order;
 #: a short text's mean may fall below by SLACK over the root of its trigrams.
 FIT, SLACK = 1.0, 5.0
+#: A language with fewer declared texts is known from the seeds of `language_seeds` too, each counted so often.
+FEWEST, SEED_WEIGHT = 20, 20
 
 _KIND = np.full(256, 32, np.uint8)
 _KIND[65:91] = np.arange(97, 123)
@@ -71,15 +74,18 @@ def _counted(languages: Sequence[str]):
     return run
 
 
-def trigram_model(texts: DataFrame, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE, by: str = "id") -> np.ndarray:
-    """Log probabilities by cell and language, from about ``sample`` declared texts of each.
+def fitted_model(texts: DataFrame, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE, by: str = "id") -> tuple[np.ndarray, list[str]]:
+    """Log probabilities by cell and language, from about ``sample`` declared texts of each, and the languages that the seeds had to help.
 
     texts: ``id, text, declared``. The sample is a threshold on a hash of ``by``, so reruns agree. The
-    counts that reach the driver are bounded by cells times languages. A language without texts gets
-    equal probabilities.
+    counts that reach the driver are bounded by cells times languages. A language with fewer than
+    `FEWEST` declared texts is known from its seeds as well; one that has none of these is an error.
     """
     declared = texts.where(F.col("declared").isin(*languages))
     sizes = {r["declared"]: r["n"] for r in declared.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).collect()}
+    helped = [x for x in languages if sizes.get(x, 0) < FEWEST]
+    if unknown := [x for x in helped if x not in SEEDS]:
+        raise ValueError(f"fewer than {FEWEST} texts declare {', '.join(unknown)}, and no seeds are known: give a model")
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("declared") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
@@ -87,7 +93,15 @@ def trigram_model(texts: DataFrame, languages: Sequence[str] = LANGUAGES, sample
     counts = np.zeros((CELLS, len(languages)))
     for r in arrow_map(chosen, _counted(list(languages)), "lang long, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"], r["lang"]] = r["n"]
-    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * CELLS)).astype(np.float32)
+    for x in helped:
+        cells, _ = trigram_cells(pa.array([SEEDS[x]]))
+        counts[:, list(languages).index(x)] += SEED_WEIGHT * np.bincount(cells, minlength=CELLS)
+    return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * CELLS)).astype(np.float32), helped
+
+
+def trigram_model(texts: DataFrame, languages: Sequence[str] = LANGUAGES, sample: int = SAMPLE, by: str = "id") -> np.ndarray:
+    """The model of `fitted_model` alone."""
+    return fitted_model(texts, languages, sample, by)[0]
 
 
 @cache
@@ -193,7 +207,10 @@ def fuse(scored: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     return arrow_map(rows, _fusing(tuple(languages), prior / prior.sum(), totals), f"id {kind}, declared string, by_text string, lang string, posterior double")
 
 
-def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: Sequence[str] | None = None, least: float = LEAST, sample: int = SAMPLE, by: str = "id") -> DataFrame:
+def identify(
+    texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: Sequence[str] | None = None, least: float = LEAST, sample: int = SAMPLE, by: str = "id",
+    model: np.ndarray | None = None, strict: bool = True,
+) -> DataFrame:
     """Language of every whole text: ``id, declared, by_text, lang, posterior, kept``, one row per row.
 
     texts: ``id, text, declared, host, site, suffix``; all but id may be null, and missing evidence is
@@ -203,14 +220,30 @@ def identify(texts: DataFrame, languages: Sequence[str] = LANGUAGES, accepted: S
     first language. Rows that repeat each get their answer, also under a null id. Other columns play
     no part. An empty table gives an empty one. Counts of values that very many rows share reach those
     rows by broadcast, the others by shuffle.
+
+    model: of `trigram_model`, from other texts; without it the table's own declared texts make one. How
+    well a text fits is judged only against a model that all ``languages`` have given enough texts to, or
+    a given one. strict: such a text is ``und`` whatever it declares; otherwise only if it declares another language.
     """
     texts = texts.select("id", "text", "declared", "host", "site", "suffix")
-    model = trigram_model(texts, languages, sample, by)
-    found = fuse(text_likelihoods(texts, model, languages), languages)
+    helped: list[str] = []
+    if model is None:
+        model, helped = fitted_model(texts, languages, sample, by)
+    scored = text_likelihoods(texts, model, languages)
+    if helped:
+        scored = scored.withColumn("fits", F.lit(True))
+    elif not strict:
+        scored = scored.withColumn("fits", F.col("fits") | F.col("declared").isNull() | F.col("declared").isin(*languages))
+    found = fuse(scored, languages)
     keep = F.col("lang").isin(*(accepted if accepted is not None else languages)) & (F.col("posterior") >= least)
     return found.select("id", "declared", "by_text", "lang", "posterior", keep.alias("kept"))
 
 
+def primary_tag(tag: Column) -> Column:
+    """The language of a tag such as ``en``, ``en-US`` or ``EN_gb``, in lower case; a null or blank one is null."""
+    return F.nullif(F.lower(F.regexp_extract(tag, r"^\s*([^\s_-]*)", 1)), F.lit(""))
+
+
 def of_documents(docs: DataFrame) -> DataFrame:
     """Input of `identify` from documents: the lang column is what was declared, the source is the host. Site and suffix come from a ``url`` column, if there is one."""
     return docs.select(F.col("doc_id").alias("id"), "text", *_evidence(docs))
@@ -227,7 +260,7 @@ def _address(url: Column) -> tuple[Column, Column, Column]:
 def _evidence(docs: DataFrame) -> list[Column]:
     url = F.col("url").cast("string") if "url" in docs.columns else F.lit(None).cast("string")
     _, site, suffix = _address(url)
-    return [F.lower("lang").alias("declared"), F.col("source").alias("host"), site.alias("site"), suffix.alias("suffix")]
+    return [primary_tag(F.col("lang")).alias("declared"), F.col("source").alias("host"), site.alias("site"), suffix.alias("suffix")]
 
 
 def of_pages(pages: DataFrame) -> DataFrame:
@@ -257,12 +290,16 @@ BROADCAST_ROWS = 200_000
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose language is known well enough, with all their columns.
 
+    What goes: texts without a letter, those whose language stays open (posterior under `LEAST`), and those that
+    declare a language which isn't one of the known ones and whose text doesn't fit these either. A text
+    without a declared language stays, and so does one that declares a known one in whatever prose. A
+    table that declares nothing, or too little, is judged by the seeds of `language_seeds`.
     Rows are told apart by id, language, source, text (and address, if there is one) together, as ids
     may repeat or be null: a rejected row takes no other with it. Other columns may have any names.
     """
     key = unused(docs, "key")
     texts = docs.select(F.struct("doc_id", _row_key(docs).alias("key")).alias("id"), "text", *_evidence(docs))
-    found = identify(texts, by="id.doc_id").where("NOT kept").groupBy(F.col("id.key").alias(key)).agg(F.count(F.lit(1)).alias("rows"))
+    found = identify(texts, by="id.doc_id", strict=False).where("NOT kept").groupBy(F.col("id.key").alias(key)).agg(F.count(F.lit(1)).alias("rows"))
     gone = stored(found, "rejected")
     keyed = docs.withColumn(key, _row_key(docs))
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:

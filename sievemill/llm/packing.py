@@ -10,13 +10,14 @@ no sequence needs padding.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .minhash import _slices
@@ -28,10 +29,13 @@ END = 1
 CELLS, DIMS, DEPTH = 1024, 4, 15
 #: Tokens of a document that travel in one row, so that ranges of rows are about as even in bytes.
 CHUNK = 1 << 12
-#: Bytes of ids a range holds, and the number of ranges beyond which they grow instead.
-RANGE_BYTES, RANGES = 16 << 20, 50_000
+#: Bytes of ids a range holds; bits of the key by which the curve's bytes are counted.
+RANGE_BYTES, COUNTED_BITS = 16 << 20, 18
+#: White space of so many signs in a row is kept from the pattern engine.
+LONG_RUN = 10_000
 #: Fixed by the vocabulary's own pre-tokenizer.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BLANKS = re.compile(rf"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{{{LONG_RUN},}}+")
 
 _PROJECTION = np.random.Generator(np.random.PCG64(11)).standard_normal((CELLS, DIMS))
 
@@ -73,6 +77,7 @@ class TokenIds:
 
     def __init__(self, vocab_path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(vocab_path, encoding="utf-8") as f:
             read = json.load(f)
@@ -81,11 +86,34 @@ class TokenIds:
         ranks = {bytes(alphabet[c] for c in k): v for k, v in read["model"]["vocab"].items() if k not in special}
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
         assert self.coder.n_vocab <= 2**16
+        self.library, self.special = Tokenizer.from_file(vocab_path), tuple(special)
 
     def ids(self, text: str) -> bytes:
         """Little-endian 16-bit ids."""
+        return b"".join(self._short(part) if k % 2 == 0 else self._long(part) for k, part in enumerate(_parts(text, self.special)) if part)
+
+    def _short(self, text: str) -> bytes:
         return self.coder.encode_to_numpy(text, allowed_special="all").astype("<u2").tobytes()
 
+    def _long(self, run: str) -> bytes:
+        return np.array(self.library.encode(run, add_special_tokens=False).ids, "<u2").tobytes()
+
+
+def _parts(text: str, special: tuple[str, ...] = ()) -> list[str]:
+    """A text cut around long runs of white space, which stand at the odd places.
+
+    Such a run but for its last sign is a piece of its own for the vocabulary's pattern (the last goes with
+    what follows, but for a special string), so cutting there changes no id; the pattern engine would run out of stack on it.
+    """
+    if len(text) < LONG_RUN:
+        return [text]
+    found, last = [], 0
+    for m in _BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) or text.startswith(special, m.end()) else m.end() - 1
+        found += [text[last : m.start()], text[m.start() : end]]
+        last = end
+    return [*found, text[last:]]
+
 
 _coders: dict[str, TokenIds] = {}
 
@@ -178,17 +206,34 @@ def _pack(length: int):
     return run
 
 
+def _ranged(ids: DataFrame) -> DataFrame:
+    """Rows of stored ids dealt by ranges of the key that are even in bytes, as many as the bytes need.
+
+    Bytes are counted by the key's first bits; a stretch of the curve that holds more than a range's
+    share, as a large group of equal texts does, is dealt over several.
+    """
+    stretch = F.shiftright("key", DIMS * DEPTH - COUNTED_BITS)
+    counted = ids.groupBy(stretch.alias("stretch")).agg(F.sum(F.octet_length("ids")).alias("bytes"))
+    # One row a stretch, 2**COUNTED_BITS at most: their running sum is one small task, and every task gets it.
+    counted = counted.withColumn("before", F.sum("bytes").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
+    counted = stored(counted, "stretches")
+    ranges = max(1, -(-(counted.agg(F.sum("bytes")).first()[0] or 0) // RANGE_BYTES))
+    inside = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20)) / (1 << 20)
+    rows = ids.withColumn("stretch", stretch).withColumn("inside", inside).join(F.broadcast(counted), "stretch")
+    place = F.least(F.floor((F.col("before") + F.col("inside") * F.col("bytes")) / RANGE_BYTES), F.lit(ranges - 1)).cast("int")
+    return rows.withColumn("range", place).select(*ids.columns, "range").repartitionById(ranges, "range")
+
+
 def pack(docs: DataFrame, vocab_path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of documents in sequences of at most ``length`` tokens, one row a piece.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``. A null or empty text
     is one document of just the end token. Every row of ``docs`` is packed, rows that repeat an id too;
     a null id passes through. Other columns play no part. An empty table gives an empty one. The number
-    of ranges follows from the bytes of all ids, so a task's share doesn't grow with the table.
+    of ranges follows from the bytes of all ids and they are even in bytes, so a task's share doesn't grow
+    with the table.
     """
     ids = stored(tokenized(docs, vocab_path, id_col, text_col), "tokens")
     kind = ids.schema["doc_id"].dataType.simpleString()
-    held = 2 * (ids.agg(F.sum(F.least(F.col("tokens") - F.col("start"), F.lit(CHUNK)))).first()[0] or 0)
-    ranges = min(RANGES, max(1, -(-held // RANGE_BYTES)))
-    ranged = ids.repartitionByRange(ranges, "key", "doc_id", "start").sortWithinPartitions("key", "doc_id", "start").select("doc_id", "start", "tokens", "ids")
+    ranged = _ranged(ids).sortWithinPartitions("key", "doc_id", "start").select("doc_id", "start", "tokens", "ids")
     return arrow_map(ranged, _pack(length), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in _PIECES[1:]))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import read_table, spread
 from ..storage import discard, shared_dir, stored, stored_alone
@@ -64,6 +65,22 @@ FEW_ROWS = 20_000
 SIDES = 4096
 
 
+def _spreading(rows: DataFrame) -> Column:
+    """A hash that tells rows apart well enough to deal them, of any types of columns, without reading whole texts."""
+
+    def part(name: str, kind: T.DataType) -> Column:
+        column = F.col(f"`{name}`")
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+            column = F.to_json(F.struct(column)) if not isinstance(kind, T.VariantType) else column.cast("string")
+        elif isinstance(kind, T.BinaryType):
+            return F.concat(F.substring(column, 1, 64), F.octet_length(column).cast("string").cast("binary"))
+        elif not isinstance(kind, T.StringType):
+            return column
+        return F.concat(F.substring(column, 1, 64), F.octet_length(column).cast("string"))
+
+    return F.xxhash64(*[part(f.name, f.dataType) for f in rows.schema.fields])
+
+
 def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with a table of one row a key, safe against keys that hold a large share of the rows.
 
@@ -84,7 +101,7 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, key: str | list[str], weight:
     aside = F.col("__near").isNotNull()
     for k in keys:
         aside = aside | F.col(k).isNull()
-    met = met.withColumn("__side", F.when(aside, 1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SIDES))).otherwise(F.lit(0)).cast("int"))
+    met = met.withColumn("__side", F.when(aside, 1 + F.pmod(_spreading(rows), F.lit(SIDES))).otherwise(F.lit(0)).cast("int"))
     # Always 0, but no constant: a constant side would not be a key of the join.
     cold = far.where(F.col("__rows") < least).withColumn("__zero", F.when(F.col("__rows") < 0, 1).otherwise(0)).drop("__rows")
     both = met.join(cold, [*same, F.col("__side") == F.col("__zero")], "left").withColumn("__found", F.coalesce("__near", "__far"))

@@ -17,26 +17,60 @@ def doi(text: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(text, DOI, 1)), F.lit(""))
 
 
+#: Signs of scripts that are written without spaces between words: Chinese, Japanese and Korean. Both Java and RE2 read it.
+IDEOGRAPHS = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7AF}\x{F900}-\x{FAFF}\x{20000}-\x{3134F}"
+GRAM = 2
+
+
 def tokens(text: Column) -> Column:
-    """Distinct runs of letters and digits, lower-cased, in order; an empty array for a null text."""
-    return F.array_distinct(_runs(text, "+"))
+    """Distinct runs of letters and digits, lower-cased, in order; an empty array for a null text. A run without spaces between its words gives overlapping pairs of signs instead."""
+    return F.array_distinct(_words(text, "+"))
 
 
 def _runs(text: Column, times: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]" + times), F.lit(0))
 
 
+def _grams(run: Column) -> Column:
+    """Overlapping pairs of signs of a run; a single sign is itself."""
+    signs = F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))
+    pairs = F.transform(F.sequence(F.lit(0), F.size(signs) - GRAM), lambda k: F.concat(signs[k], signs[k + 1]))
+    return F.when(F.size(signs) < GRAM, signs).otherwise(pairs)
+
+
+def _words(text: Column, times: str) -> Column:
+    """Runs in order; those of ideographs, which stand alone, as grams."""
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"([{IDEOGRAPHS}]+)", " $1 ")
+    runs = F.regexp_extract_all(apart, F.lit(rf"[{IDEOGRAPHS}]+|[\p{{L}}\p{{N}}]{times}"), F.lit(0))
+    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{IDEOGRAPHS}]"), _grams(r)).otherwise(F.array(r))))
+    return F.when(F.coalesce(text, F.lit("")).rlike(f"[{IDEOGRAPHS}]"), mixed).otherwise(_runs(text, times))
+
+
 def keywords(title: Column, stopwords: tuple = STOPWORDS) -> Column:
-    """Distinct title words of three or more letters that aren't stopwords, in order."""
-    return F.array_except(_runs(title, "{3,}"), F.array(*[F.lit(w) for w in stopwords]))
+    """Distinct title words of three or more letters that aren't stopwords, in order; of ideographs, overlapping pairs of signs."""
+    return F.array_except(_words(title, "{3,}"), F.array(*[F.lit(w) for w in stopwords]))
+
+
+def terms(text: Column, stopwords: tuple = STOPWORDS) -> Column:
+    """What `keywords` gives, with repeats: the terms of an index."""
+    stops = F.array(*[F.lit(w) for w in stopwords])
+    return F.filter(_words(text, "{3,}"), lambda w: ~F.array_contains(stops, w))
 
 
 def file_name(author: Column, year: Column, title: Column, words: int = 6) -> Column:
     """Standard name of a study's file: author, year and the first title keywords, safe on any file system."""
-    parts = [F.coalesce(F.regexp_replace(F.lower(author), r"[^\p{L}\p{N}]+", ""), F.lit("anon")), F.coalesce(year.cast("string"), F.lit("nd")), F.array_join(F.slice(keywords(title), 1, words), "-")]
+    parts = [F.coalesce(F.regexp_replace(F.lower(author), r"[^\p{L}\p{N}]+", ""), F.lit("anon")), F.coalesce(year.cast("string"), F.lit("nd")), F.array_join(F.slice(F.array_except(_runs(title, "{3,}"), F.array(*[F.lit(w) for w in STOPWORDS])), 1, words), "-")]
     return F.concat(F.concat_ws("_", *parts), F.lit(".pdf"))
 
 
-def progress_key(doi_col: Column, title: Column) -> Column:
-    """Key under which a study's progress is kept: of its DOI, or of its title words where it has none."""
-    return F.sha2(F.coalesce(F.lower(doi_col), F.array_join(keywords(title), " ")), 256)
+def progress_key(doi_col: Column, title: Column, author: Column | None = None, year: Column | None = None, study_id: Column | None = None) -> Column:
+    """Key under which a study's progress is kept: of its DOI; else of all words of its title, its author and year; else of its id.
+
+    Words of any length and stopwords count, so different titles have different keys. A study that has
+    neither DOI nor title nor id has no key.
+    """
+    words = F.array_join(_runs(title, "+"), " ")
+    missing = F.lit(None).cast("string")
+    named = F.concat_ws("|", words, F.coalesce(F.lower(author), F.lit("")) if author is not None else F.lit(""), F.coalesce(year.cast("string"), F.lit("")) if year is not None else F.lit(""))
+    own = F.concat(F.lit("study|"), study_id) if study_id is not None else missing
+    return F.sha2(F.coalesce(F.nullif(F.lower(F.trim(doi_col)), F.lit("")), F.when(words != "", named), own), 256)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def reconcile(records: DataFrame, disk: DataFrame, key: str = "progress_key") -> DataFrame:
     """``key, status`` for every key: both, disk_only or record_only. Repeated keys count once; null keys are left out."""
@@ -15,13 +17,24 @@ def reconcile(records: DataFrame, disk: DataFrame, key: str = "progress_key") ->
 
 
 def backfill(records: DataFrame, disk: DataFrame, key: str = "progress_key") -> DataFrame:
-    """Rows of ``disk`` that no record names: what has to be filled in."""
-    return disk.join(records.select(key).distinct(), key, "left_anti")
+    """What has to be filled in: a row of ``disk`` for each key that `reconcile` calls disk_only.
+
+    Null keys are left out. Of rows with the same key the one whose other columns are smallest counts,
+    column by column, nulls first; these must have an order (no maps).
+    """
+    others = [c for c in disk.columns if c != key]
+    rows = disk.where(F.col(key).isNotNull())
+    least = rows.groupBy(key).agg(F.min(F.struct(*others)).alias("__row")).select(key, *[F.col("__row")[c].alias(c) for c in others]) if others else rows.distinct()
+    return least.select(disk.columns).join(records.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
 def apply_backfill(records: DataFrame, disk: DataFrame, path: str, key: str = "progress_key", apply: bool = False) -> DataFrame:
-    """The report; with ``apply`` the missing records are appended at ``path``, and only then is anything written."""
-    missing = backfill(records, disk, key)
+    """The report; with ``apply`` the missing records are appended at ``path``, and only then is anything written there.
+
+    The report is stored first, so it tells what was missing even where ``records`` are read from
+    ``path``. Applied again to the records as they then are, it adds nothing.
+    """
+    missing = stored(backfill(records, disk, key), "missing")
     if apply:
         missing.write.mode("append").parquet(path)
     return missing

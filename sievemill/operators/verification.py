@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import doi, keywords, tokens
+from ..functions.text import IDEOGRAPHS, doi, keywords, tokens
 from ..sources.tables import spread
 
 #: Titles of one or two words that are searched in one pass; so many come to the driver at a time.
@@ -23,7 +23,9 @@ def verify(files: DataFrame, studies: DataFrame, least: float = 0.6) -> DataFram
     wanted = studies.select("study_id", F.lit(True).alias("known"), F.lower("doi").alias("doi"), F.lower("author").alias("author"), keywords(F.col("title")).alias("keys"))
     rows = files.join(wanted, "study_id", "left").withColumn("seen", doi(F.col("text"))).withColumn("words", tokens(F.col("text")))
     share = F.when(F.size("keys") > 0, F.size(F.array_intersect("keys", "words")) / F.size("keys")).otherwise(F.lit(0.0))
-    rows = rows.select("path", "study_id", "known", "seen", (F.col("seen").eqNullSafe(F.col("doi")) & F.col("seen").isNotNull()).alias("doi_ok"), F.coalesce(F.array_contains("words", F.col("author")), F.lit(False)).alias("author_ok"), F.round(share, 4).alias("title_share"))
+    # A name in a script without spaces is no word of its own.
+    named = F.when(F.col("author").rlike(f"[{IDEOGRAPHS}]"), F.lower("text").contains(F.col("author"))).otherwise(F.array_contains("words", F.col("author")))
+    rows = rows.select("path", "study_id", "known", "seen", (F.col("seen").eqNullSafe(F.col("doi")) & F.col("seen").isNotNull()).alias("doi_ok"), F.coalesce(named, F.lit(False)).alias("author_ok"), F.round(share, 4).alias("title_share"))
     verdict = F.when(F.col("known").isNull(), "unverified").when(F.col("doi_ok"), "verified").when(F.col("seen").isNotNull(), "mismatch").when(F.col("author_ok") & (F.col("title_share") >= least), "verified").otherwise("unverified")
     return rows.withColumn("verdict", verdict).drop("seen", "known")
 

@@ -14,6 +14,7 @@ from ..operators import extraction, fallback, progress, queue, retrieval, verifi
 from ..sources.tables import download_input, fetched_pdfs, read_pdfs, read_table, resolve_case, write_by_case
 from ..storage import fresh_path, stored
 from ..streaming import queue as streams
+from . import copy_queries, search_queries
 
 # ---- derived inputs: the same expressions run in Spark and in DuckDB
 
@@ -180,14 +181,14 @@ FROM found
 
 def study_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title keywords, file name and progress key of every study."""
-    return studies(spark, sf_dir).select("study_id", F.array_join(keywords(F.col("title")), " ").alias("title_keywords"), file_name(F.col("author"), F.col("year"), F.col("title")).alias("file_name"), progress_key(F.trim("doi"), F.col("title")).alias("progress_key"))
+    return studies(spark, sf_dir).select("study_id", F.array_join(keywords(F.col("title")), " ").alias("title_keywords"), file_name(F.col("author"), F.col("year"), F.col("title")).alias("file_name"), progress_key(F.col("doi"), F.col("title"), F.col("author"), F.col("year"), F.col("study_id")).alias("progress_key"))
 
 
 KEYED = f"""
-WITH {STUDIES}, keyed AS (SELECT *, {KEYS.format('title')} AS keys FROM studies)
+WITH {STUDIES}, keyed AS (SELECT *, {KEYS.format('title')} AS keys, array_to_string({WORDS.format('title')}, ' ') AS words FROM studies)
 SELECT study_id, array_to_string(keys, ' ') AS title_keywords,
        lower(author) || '_' || year || '_' || array_to_string(keys[1:6], '-') || '.pdf' AS file_name,
-       sha256(coalesce(lower(trim(doi)), array_to_string(keys, ' '))) AS progress_key
+       sha256(coalesce(lower(trim(doi)), CASE WHEN words <> '' THEN words || '|' || lower(author) || '|' || year ELSE 'study|' || study_id END)) AS progress_key
 FROM keyed
 """
 
@@ -545,6 +546,9 @@ QUERIES = {
     "applied_backfill": applied_backfill,
     "only_case": only_case,
 }
+MORE = (search_queries, copy_queries)
+for _module in MORE:
+    QUERIES |= _module.QUERIES
 
 _inner = INCLUDED.strip()
 BY_STATUS = f"WITH {ROUNDS}, {STATUS} SELECT status, count(*) AS rounds FROM timed GROUP BY 1"
@@ -587,3 +591,5 @@ SELECT doc_id FROM records UNION ALL SELECT doc_id FROM documents WHERE doc_id N
 """,
     "only_case": f"WITH {STUDIES} SELECT 'review' AS case_name, study_id, lower(trim(doi)) AS doi, author, year, title FROM studies",
 }
+for _module in MORE:
+    ORACLES |= _module.ORACLES

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from sievemill import joins
 from sievemill.llm import language_id, packing, shared
 from sievemill.llm.language_id import LANGUAGES, identify, keep_identified, of_documents, trigram_cells, trigram_model
 from sievemill.llm.mixing import mixed_documents
@@ -56,7 +57,7 @@ def test_map_columns_past_the_switches(spark, monkeypatch):
     for n in switches:
         monkeypatch.setattr(mixing, n, 0)
     monkeypatch.setattr(language_id, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(shared, "FEW_ROWS", 0)
+    monkeypatch.setattr(joins, "FEW_ROWS", 0)
     assert switches and mixed_documents(docs).columns == docs.columns and mixed_documents(docs).count() > 0
     assert {r.doc_id for r in keep_identified(docs).collect()} >= set(range(60)) - set(range(0, 60, 3)) and not {98, 99} & {r.doc_id for r in keep_identified(docs).collect()}
 

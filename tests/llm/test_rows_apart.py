@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from sievemill.llm import shared
+from sievemill import joins
 from sievemill.llm.exact_dedup import deduplicate
 from sievemill.llm.language_id import keep_identified
 from sievemill.llm.minhash import drop_near_duplicates
@@ -92,8 +92,8 @@ def test_addresses_are_evidence(spark):
 
 
 def test_keyed_joins_with_hot_and_null_keys(spark, monkeypatch):
-    monkeypatch.setattr(shared, "FEW_ROWS", 0)
-    monkeypatch.setattr(shared, "HOT_ROWS", 50)
+    monkeypatch.setattr(joins, "FEW_ROWS", 0)
+    monkeypatch.setattr(joins, "HOT_ROWS", 50)
     rows = spark.range(600).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN concat('k', id % 40) END AS k", "id % 2 AS j")
     keyed = rows.where("k IS NOT NULL AND k <> 'k1'").groupBy("k", "j").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
     for how in ("left", "inner"):

@@ -2,37 +2,74 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.citations import LEAST, STYLES, read_line
 from ..functions.text import doi
+from ..joins import join_keyed
+from ..storage import stored
 
 #: The two projections of an extraction. Which fields each has is an assumption.
 FAST = ("author", "year", "doi", "journal")
 CORE = ("author", "year", "doi", "title", "journal")
-#: A reference line: first author, whoever else, year, title, journal.
-REFERENCE = r"^(?:\[[0-9]+\]\s*)?([^(),;]+?)(?:[,;][^()]*| et al\.?| (?:and|&) [^()]*)? \(((?:19|20)[0-9]{2})[a-z]?\)\. ([^.]+)\. ([^.]+)\."
+#: What a line must show to be looked at: a year, or a DOI's beginning.
+CANDIDATE = r"(?:19|20)[0-9]{2}|10\.[0-9]{4,9}/"
+#: The styles' scores count so much in a review's vote at most, and so little at least.
+MOST_VOTE, LEAST_VOTE = 10.0, -5.0
+#: A line leaves its review's style for one that scores so much more.
+CLEARLY = 4.0
+READ = "id {kind}, line_no long, doi string, read array<struct<score:double,author:string,year:int,title:string,journal:string>>"
 
 
 def reference_lines(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines that may be references, with or without a DOI: ``id, line_no, line``."""
     lines = reviews.select(F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    line = F.col("line")
-    return lines.where(line.contains("10.") | (line.contains("). ") & line.rlike(REFERENCE)))
+    return lines.where(F.col("line").rlike(CANDIDATE))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("author", pa.string()), ("year", pa.int32()), ("title", pa.string()), ("journal", pa.string())]))
+    for batch in batches:
+        read = [[r._asdict() for r in read_line(line)] for line in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.int64()), batch.column(2), pa.array(read, kind)], ["id", "line_no", "doi", "read"])
+
+
+def labelled_lines(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, line_no, doi, read`` of candidate lines that show a DOI or that some style reads; read: what each of `STYLES` makes of it."""
+    lines = reference_lines(reviews, id_col, text_col).select("id", "line_no", doi(F.col("line")).alias("doi"), "line")
+    found = lines.mapInArrow(_read, READ.format(kind=lines.schema["id"].dataType.simpleString()))
+    return found.where(F.col("doi").isNotNull() | F.exists("read", lambda r: r["score"] >= LEAST))
+
+
+def _best(read: Column) -> Column:
+    """The reading with the largest score, of equal ones that of the first style."""
+    return F.reduce(F.slice(read, 2, len(STYLES)), F.get(read, 0), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
 
 
 def included_studies(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row for each reference line: ``id, line_no, author, year, title, journal, doi``.
 
-    A reference line has the form of one (author, year in brackets, title, journal) or names a DOI. A
-    field that it doesn't show is null; author is the first one. Null texts give no rows.
+    A line is a reference if one of the styles of `citations` reads it, or if it names a DOI. Each review
+    votes for a style by what its lines score in each; a line is read in that style, and where that
+    makes nothing of it, or another fits clearly better, in the one that fits best. A field that it doesn't show is null; author is the
+    first one's surname, or a body. Null texts give no rows; lines with a null id vote for themselves alone.
     """
-
-    def part(k: int) -> Column:
-        return F.nullif(F.trim(F.regexp_extract("line", REFERENCE, k)), F.lit(""))
-
-    found = reference_lines(reviews, id_col, text_col).select("id", "line_no", part(1).alias("author"), part(2).cast("int").alias("year"), part(3).alias("title"), part(4).alias("journal"), doi(F.col("line")).alias("doi"))
-    return found.where("doi IS NOT NULL OR year IS NOT NULL")
+    lines = stored(labelled_lines(reviews, id_col, text_col), "references")
+    clipped = lambda k: F.least(F.greatest(F.col("read")[k]["score"], F.lit(LEAST_VOTE)), F.lit(MOST_VOTE))
+    votes = lines.groupBy("id").agg(*[F.sum(clipped(k)).alias(f"s{k}") for k in range(len(STYLES))], F.count(F.lit(1)).alias("lines"))
+    most = F.greatest(*[F.col(f"s{k}") for k in range(len(STYLES))])
+    style = F.coalesce(*[F.when(F.col(f"s{k}") == most, F.lit(k)) for k in range(len(STYLES))])
+    rows = join_keyed(lines, votes.select("id", style.alias("style"), "lines"), "id", "lines", lines.count(), "left")
+    voted = F.get("read", F.coalesce("style", F.lit(0)))
+    best = _best(F.col("read"))
+    close = F.col("style").isNotNull() & (voted["score"] >= LEAST) & (voted["score"] >= best["score"] - CLEARLY)
+    own = F.when(close, voted).when(best["score"] >= LEAST, best)
+    rows = rows.withColumn("own", own)
+    return rows.select("id", "line_no", *[F.col("own")[c].alias(c) for c in ("author", "year", "title", "journal")], "doi")
 
 
 def project(studies: DataFrame, mode: str) -> DataFrame:

@@ -1,0 +1,94 @@
+"""The best path against all labellings; references of five styles; the vote of a review."""
+
+import itertools
+import random
+import time
+
+import pytest
+
+from sievemill.functions.citations import LEAST, NEVER, STYLES, YEAR, best_path, boundary, emissions, read_line
+from sievemill.operators.extraction import included_studies
+
+WORDS = ["Smith", "J,", "Doe", "K.", "et", "al.", "(2010).", "2010.", "2011;12:3.", "Air", "and", "health.", "in", "the", "U.S.", '"Air', 'sleep,"', 'noise."', "Lancet.", "Lancet,", "vol.", "12,", "pp.", "45-67.", "doi:10.1000/x", "towards", "2012."]
+
+
+def by_hand(style, words):
+    """The best sum over all ways to cut the words into fields."""
+    scores, best = emissions(words), NEVER
+    orders = [p for n in range(1, len(style.fields) + 1) for p in itertools.combinations(range(len(style.fields)), n) if p[0] == 0 and all((a, b) in style.follows for a, b in zip(p, p[1:])) and p[-1] in style.last]
+    for order in orders:
+        for cuts in itertools.combinations(range(1, len(words)), len(order) - 1):
+            total, edges = 0.0, [0, *cuts, len(words)]
+            for place, (a, b) in zip(order, zip(edges, edges[1:])):
+                field = style.fields[place]
+                if field == YEAR:
+                    total += 2.0 if b - a == 1 and style.year.match(words[a]) else NEVER
+                else:
+                    total += sum(scores[i][field] for i in range(a, b))
+            for (left, right), cut in zip(zip(order, order[1:]), cuts):
+                total += boundary(style, style.fields[left], style.fields[right], words, cut - 1)
+            best = max(best, total)
+    return best
+
+
+@pytest.mark.parametrize("style", STYLES, ids=lambda s: s.name)
+def test_best_path_against_all_labellings(style):
+    rng, reached = random.Random(style.name), 0
+    for _ in range(250):
+        words = [rng.choice(WORDS) for _ in range(rng.randrange(1, 10))]
+        score, path = best_path(style, words)
+        want = by_hand(style, words)
+        assert (score <= NEVER / 2) == (want <= NEVER / 2)
+        if want > NEVER / 2:
+            reached += 1
+            assert abs(score - want) < 1e-9 and len(path) == len(words) and path == sorted(path)
+    assert reached > 5
+
+
+LINES = [
+    ("vancouver", "Smith J, Doe K. Title of the work. Lancet. 2010;12(3):45-9.", ("Smith", 2010, "Title of the work", "Lancet")),
+    ("vancouver", "12. van der Berg AB, Li X-Y, Roe C. Effects of the U.S. air policy on health. Am J Epidemiol. 2011 Jan;4:1-9. doi:10.1000/x.1.", ("van der Berg", 2011, "Effects of the U.S. air policy on health", "Am J Epidemiol")),
+    ("vancouver", "Smith J. Is it good? A review of the U.S. studies. BMJ. 2015.", ("Smith", 2015, "Is it good? A review of the U.S. studies", "BMJ")),
+    ("apa", "Roe, A., & Poe, K. (2010). The U.S. air study. Journal of Health, 12(3), 45-67.", ("Roe", 2010, "The U.S. air study", "Journal of Health")),
+    ("apa", "[12] Müller et al. (2003a). Study 12 of en. Journal 3. doi:10.1005/ABC.12.", ("Müller", 2003, "Study 12 of en", "Journal 3")),
+    ("apa", "World Health Organization. (2010). Air in cities. WHO Press.", ("World Health Organization", 2010, "Air in cities", "WHO Press")),
+    ("ieee", '[1] J. Smith and K. Doe, "Air and exercise in the U.S.," Lancet, vol. 12, no. 3, pp. 45-67, 2010.', ("Smith", 2010, "Air and exercise in the U.S.", "Lancet")),
+    ("ieee", '[2] J. A. Smith, K. Doe, and L. Roe, “Air,” Environ. Res. Lett., vol. 12, pp. 45, Jan. 2010, doi: 10.1000/abc.', ("Smith", 2010, "Air", "Environ. Res. Lett")),
+    ("mla", 'Smith, John, and Kim Doe. "Air and exercise." Lancet, vol. 12, no. 3, 2010, pp. 45-67.', ("Smith", 2010, "Air and exercise", "Lancet")),
+    ("chicago", "Smith, John. 2010. Air and exercise. Lancet 12 (3): 45-67.", ("Smith", 2010, "Air and exercise", "Lancet")),
+    ("chicago", 'Smith, John. 2010. "Air and exercise in U.S. cities." Journal of Air, 12.', ("Smith", 2010, "Air and exercise in U.S. cities", "Journal of Air")),
+]
+
+
+@pytest.mark.parametrize("style, line, want", LINES)
+def test_lines(style, line, want):
+    read = read_line(line)
+    best = max(range(len(STYLES)), key=lambda k: read[k].score)
+    assert STYLES[best].name == style and read[best][1:] == want and read[best].score >= LEAST
+
+
+@pytest.mark.parametrize("line", ["", "   ", "2010", "In the year 2010 we saw that things were better. The study was good. It was long.", "The results of Smith et al. (2010). This was good. It had many flaws.", "(2010). (2011). (2012).", "He said (2001) that it was. And then not."])
+def test_prose_is_no_reference(line):
+    assert max(r.score for r in read_line(line)) < LEAST
+
+
+def test_long_lines_take_time_in_proportion():
+    began = time.time()
+    read_line("Smith J. " * 190 + "2010.")
+    read_line("Smith J (2010). " * 100_000)
+    assert time.time() - began < 5
+
+
+def test_a_review_votes(spark):
+    """Its last line could be read in two ways; without the others it would be the other one."""
+    vancouver = [x for s, x, _ in LINES if s == "vancouver"]
+    text = "Methods. We looked at 2010 cases.\n" + "\n".join(vancouver) + "\nsee doi 10.1234/ABC.5.\n" + LINES[6][1]
+    rows = [(1, text), (None, LINES[3][1]), (None, LINES[0][1]), (2, None), (3, ""), (4, "\n".join(x for _, x, _ in LINES))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS style", "2 AS lines", "3 AS id")
+    got = included_studies(table, "doc_id", "text").collect()
+    by_id = {k: {(r.author, r.year, r.title, r.journal) for r in got if r.id == k} for k in (1, None, 2, 3, 4)}
+    assert by_id[1] == {w for s, _, w in LINES if s == "vancouver"} | {LINES[6][2], (None,) * 4}
+    assert by_id[None] == {LINES[3][2], LINES[0][2]} and not by_id[2] and not by_id[3]
+    assert by_id[4] == {w for _, _, w in LINES}
+    assert {r.doi for r in got if r.id == 1} == {None, "10.1000/x.1", "10.1234/abc.5"}
+    assert included_studies(table.limit(0), "doc_id", "text").collect() == []

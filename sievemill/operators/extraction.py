@@ -12,6 +12,7 @@ from ..functions.citations import LEAST, STYLES, read_line
 from ..functions.text import doi
 from ..joins import join_keyed
 from ..storage import stored
+from ..tasks import arrow_map
 
 #: The two projections of an extraction. Which fields each has is an assumption.
 FAST = ("author", "year", "doi", "journal")
@@ -41,7 +42,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def labelled_lines(reviews: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, line_no, doi, read`` of candidate lines that show a DOI or that some style reads; read: what each of `STYLES` makes of it."""
     lines = reference_lines(reviews, id_col, text_col).select("id", "line_no", doi(F.col("line")).alias("doi"), "line")
-    found = lines.mapInArrow(_read, READ.format(kind=lines.schema["id"].dataType.simpleString()))
+    found = arrow_map(lines, _read, READ.format(kind=lines.schema["id"].dataType.simpleString()))
     return found.where(F.col("doi").isNotNull() | F.exists("read", lambda r: r["score"] >= LEAST))
 
 

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +10,9 @@ from pyspark.sql import functions as F
 from ..joins import join_keyed
 from ..sources.tables import read_table, spread
 from ..storage import discard, shared_dir, stored, stored_alone
+from ..tasks import arrow_map, send_code
 
-__all__ = ["arrow_map", "discard", "join_keyed", "lower_az", "read_table", "shared_dir", "spread", "stored", "stored_alone", "text_bytes", "unused"]
+__all__ = ["arrow_map", "discard", "join_keyed", "lower_az", "read_table", "send_code", "shared_dir", "spread", "stored", "stored_alone", "text_bytes", "unused"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -28,28 +25,6 @@ def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-_sent: set[str] = set()
-
-
-def send_code(spark: SparkSession) -> None:
-    """Give this package to the executors through Spark, once an application, so that their Python finds it."""
-    context = spark.sparkContext
-    if context.applicationId not in _sent:
-        package = Path(__file__).resolve().parents[1]
-        target = Path(tempfile.mkdtemp(prefix="spark-code-")) / f"{package.name}.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(target))
-        _sent.add(context.applicationId)
-
-
-def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
-    """mapInArrow with this package on the executors."""
-    send_code(df.sparkSession)
-    return df.mapInArrow(run, schema)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, whatever its columns are called."""
     taken = {c.lower() for c in df.columns}

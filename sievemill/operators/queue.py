@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import stored
+from .asof import as_of, range_count, text_key
 
 #: A round must be over after so many seconds; the engine gives up after so many. Both limits still count as in time.
 ROUND_SECONDS, ENGINE_SECONDS = 110, 120
@@ -51,6 +52,21 @@ def purge(cache: DataFrame) -> DataFrame:
     return cache.where(~F.coalesce(bad, F.lit(False)))
 
 
+def poisoned_reads(lookups: DataFrame, writes: DataFrame) -> DataFrame:
+    """``batch_id, entry_id, spoilt_by, lookups, first_ts``: batches that read a poisoned cache entry, and the entry and batch that had spoilt it.
+
+    lookups: ``batch_id, source_text, ts``; writes: ``entry_id, batch_id, source_text, target_text, ts``.
+    A lookup reads the latest entry written before it for its text, of those written at once the one
+    with the largest id. Batches may read their own entries; those are left out, as they aren't later
+    ones. A lookup that reads a sound entry, or none, gives no row.
+    """
+    poisoned = F.coalesce((F.col("target_text") == F.col("source_text")) & F.col("source_text").rlike(r"\p{L}{3}"), F.lit(False))
+    made = writes.select(text_key(F.col("source_text")).alias("key"), F.col("ts").cast("timestamp").alias("at"), "entry_id", F.col("batch_id").alias("by"), poisoned.alias("poisoned"))
+    asked = lookups.select(text_key(F.col("source_text")).alias("key"), F.col("ts").cast("timestamp").alias("at"), "batch_id")
+    read = as_of(asked, made, "key", "at", ["entry_id"]).where("latest.poisoned AND NOT (latest.by <=> batch_id)")
+    return read.groupBy("batch_id", F.col("latest.entry_id").alias("entry_id"), F.col("latest.by").alias("spoilt_by")).agg(F.count(F.lit(1)).alias("lookups"), F.min("at").alias("first_ts"))
+
+
 def overlapping(rounds: DataFrame, lane: str) -> DataFrame:
     """``task_id, open_others``: rounds that began while rounds of other papers in their lane were open. Must be empty.
 
@@ -70,8 +86,8 @@ def overlapping(rounds: DataFrame, lane: str) -> DataFrame:
         F.struct(F.col("end").alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("step")),
     )
     laid = rows.select("lane", "paper_id", "task_id", "begin", "end", F.inline(steps)).where("kind = 1 OR end > begin").drop("begin", "end")
-    laid = laid.repartitionByRange("lane", "at", "kind", "task_id").withColumn("part", F.spark_partition_id())
-    laid = stored(laid, "steps")
+    laid = stored(laid, "laid")
+    laid = stored(laid.repartitionByRange(range_count(laid), "lane", "at", "kind", "task_id").withColumn("part", F.spark_partition_id()), "steps")
     counted = laid
     for by, name in ((["lane"], "of_lane"), (["lane", "paper_id"], "of_paper")):
         # One row for each range and lane or paper in it: as many as ranges at most in one window.

@@ -443,11 +443,12 @@ ARCHIVED = "SELECT user_id AS batch_id, count(*) AS tasks FROM events WHERE even
 
 
 def streamed_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rounds read as two streams, joined within the engine's limit, and counted by status."""
+    """The rounds read as two streams, some pushes twice, joined within the engine's limit, and counted by status."""
     base = fresh_path(spark, "rounds")
     both = rounds(spark, sf_dir)
     pulls = both.select("task_id", "batch_id", "pull_ts")
     pushes = both.where("push_ts IS NOT NULL").select("task_id", "push_ts")
+    pushes = pushes.unionByName(pushes.where("task_id % 3 = 0").withColumn("push_ts", F.expr("push_ts + INTERVAL 5 SECONDS")))
     for name, rows, column in (("pulls", pulls, "pull_ts"), ("pushes", pushes, "push_ts")):
         rows.unionByName(streams.sentinel(spark, rows, column, "2100-01-01")).write.parquet(f"{base}/{name}")
     joined = streams.joined_rounds(streams.read_stream(spark, f"{base}/pulls", pulls.schema, 1000), streams.read_stream(spark, f"{base}/pushes", pushes.schema, 1000))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import queue
 from ..sources.tables import read_table
+from ..storage import fresh_path
+from ..streaming import overlaps
+from ..streaming import queue as streams
 
 #: A text for each kind of event, half of all events ask for one of two.
 TEXT = "CASE WHEN event_id % 2 = 0 THEN concat('common text ', event_id % 4) ELSE concat(event_type, ' text ', user_id % 7) END"
@@ -30,5 +33,28 @@ SELECT f.batch_id, w.event_id AS entry_id, w.batch_id AS spoilt_by, count(*) AS
 FROM found f JOIN e w ON w.event_id = f.latest[2] WHERE w.event_id % 17 = 0 AND w.batch_id <> f.batch_id GROUP BY 1, 2, 3
 """
 
-QUERIES = {"poisoned_reads": poisoned_reads}
-ORACLES = {"poisoned_reads": READS}
+def streamed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pulls and pushes of all rounds as a stream, every fourth push twice: rounds that began while others of their lane were open."""
+    base = fresh_path(spark, "lanes")
+    rounds = read_table(spark, sf_dir, "events").selectExpr("user_id % 10 AS lane", "user_id AS paper_id", "event_id AS task_id", "cast(ts AS timestamp) AS pull_ts", "CASE WHEN event_id % 17 <> 0 THEN cast(ts AS timestamp) + make_dt_interval(0, 0, 0, event_id % 131) END AS push_ts")
+    pulls = rounds.selectExpr("lane", "paper_id", "task_id", "'pull' AS kind", "pull_ts AS ts")
+    pushes = rounds.where("push_ts IS NOT NULL").selectExpr("lane", "paper_id", "task_id", "'push' AS kind", "push_ts AS ts")
+    events = pulls.unionByName(pushes).unionByName(pushes.where("task_id % 4 = 0"))
+    events.unionByName(overlaps.lane_ends(pulls, "2100-01-01")).write.parquet(f"{base}/events")
+    with streams.rocksdb(spark):
+        done = streams.drained(overlaps.overlapping_stream(streams.read_stream(spark, f"{base}/events", events.schema, 1000)), f"{base}/out", f"{base}/checkpoint")
+    return done.where("NOT late").select("task_id", "open_others")
+
+
+STREAMED = """
+WITH spans AS (
+  SELECT event_id AS task_id, user_id % 10 AS lane, user_id AS paper_id, ts AS pull_ts,
+         CASE WHEN event_id % 17 <> 0 THEN ts + to_seconds(least(event_id % 131, 120)) ELSE ts + INTERVAL 120 SECONDS END AS end_ts FROM events
+)
+SELECT a.task_id, count(*) AS open_others
+FROM spans a JOIN spans b ON a.lane = b.lane AND a.paper_id <> b.paper_id AND (b.pull_ts < a.pull_ts OR (b.pull_ts = a.pull_ts AND b.task_id < a.task_id)) AND b.end_ts > a.pull_ts
+GROUP BY 1
+"""
+
+QUERIES = {"poisoned_reads": poisoned_reads, "streamed_overlaps": streamed_overlaps}
+ORACLES = {"poisoned_reads": READS, "streamed_overlaps": STREAMED}

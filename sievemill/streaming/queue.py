@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from ..operators.queue import ENGINE_SECONDS, ROUND_SECONDS
+from ..tasks import send_code
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event time may be out of order by so much.
@@ -35,15 +36,17 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, files: int =
 
 
 def joined_rounds(pulls: DataFrame, pushes: DataFrame, hard: int = ENGINE_SECONDS) -> DataFrame:
-    """Each pull with its push within the hard limit, or none: ``task_id, batch_id, pull_ts, push_ts``.
+    """Each pull with its first push within the hard limit, or none: ``task_id, batch_id, pull_ts, push_ts``, one row a pull.
 
-    Both inputs are streams with TIMESTAMP event times. A pull comes out without a push only when the
-    watermark has passed its limit, so the last rounds wait for later events (see `drained`).
+    Both inputs are streams with TIMESTAMP event times. A pull comes out when the watermark has passed
+    its limit, as only then it's known which push was the first, so the last rounds wait for later events
+    (see `drained`). Repeated pulls are one.
     """
     a = pulls.withWatermark("pull_ts", DELAY)
     b = pushes.select(F.col("task_id").alias("t"), "push_ts").withWatermark("push_ts", DELAY)
     near = F.expr(f"task_id = t AND push_ts >= pull_ts AND push_ts <= pull_ts + INTERVAL {hard} SECONDS")
-    return a.join(b, near, "leftOuter").select("task_id", "batch_id", "pull_ts", "push_ts")
+    met = a.join(b, near, "leftOuter").select("task_id", "batch_id", "pull_ts", "push_ts")
+    return met.groupBy("task_id", "batch_id", "pull_ts").agg(F.min("push_ts").alias("push_ts"))
 
 
 def status_of(rounds: DataFrame, soft: int = ROUND_SECONDS) -> DataFrame:
@@ -104,5 +107,6 @@ class OpenRound(StatefulProcessor):
 
 def timed_rounds(events: DataFrame) -> DataFrame:
     """Outcome of each task by event-time timers. events: a stream of ``task_id, event_ts, kind``. Needs the RocksDB state store."""
+    send_code(events.sparkSession)
     keyed = events.withWatermark("event_ts", DELAY).groupBy("task_id")
     return keyed.transformWithStateInPandas(OpenRound(), "task_id long, latency double, status string", "Append", "EventTime")

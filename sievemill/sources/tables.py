@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.pdf import structure
+from ..storage import stored
+from ..tasks import arrow_map
+
 #: A study as the info table of a case holds it.
 STUDY = T.StructType(
     [
@@ -56,6 +63,35 @@ def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.col("modificationTime").alias("modified"), header.alias("header"), ((F.col("length") > 0) & (header == F.lit(b"%PDF-"))).alias("valid"))
 
 
+def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):  # one file at a time, as each may be large
+            made = structure(batch.column(1)[k].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *[pa.array([v], t) for v, t in zip(made, (pa.string(), pa.string(), pa.int64(), pa.int64()))]], ["path", "state", "version", "objects", "misplaced"])
+
+
+def pdf_structures(files: DataFrame) -> DataFrame:
+    """``path, state, version, objects, misplaced`` of files (``path, content``), by their bytes alone, see `structure`."""
+    return arrow_map(files.select("path", "content"), _structures, "path string, state string, version string, objects long, misplaced long")
+
+
+def read_structures(spark: SparkSession, path: str) -> DataFrame:
+    """`pdf_structures` of all files below a folder, those without any bytes included.
+
+    Spark's file reader passes over the latter; their names come from the list of files that it keeps on the
+    driver anyway.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    found = stored(pdf_structures(files), "structures")
+    listed = spark.createDataFrame([(name,) for name in files.inputFiles()], "path string")
+    # Listed names are escaped as in a URI, those of the reader are not.
+    listed = listed.select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("path"))
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/{1,3}", "$1:/")
+    empty = listed.withColumn("__plain", plain("path")).join(found.select(plain("path").alias("__plain")), "__plain", "left_anti")
+    none = empty.select("path", F.lit("empty").alias("state"), F.lit(None).cast("string").alias("version"), F.lit(0).cast("long").alias("objects"), F.lit(0).cast("long").alias("misplaced"))
+    return found.unionByName(none)
+
+
 def fetched_pdfs(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """``path, length, state`` for each path of a manifest: valid, not_pdf, or missing.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keywords
 from ..sources.tables import spread
+from ..storage import stored
 
 INSUFFICIENT = "insufficient_evidence"
-#: Question words up to so many are broadcast, and else joined by shuffle.
+#: Question words that go to every task at a time; more are asked in blocks, a pass over the notes each.
 BROADCAST_ROWS = 200_000
 
 
@@ -23,15 +24,20 @@ def shared_keywords(notes: DataFrame, questions: DataFrame, least: int = 1) -> D
     """``question_id, note_id, hits``: every note that shares at least ``least`` keywords with a question.
 
     questions: ``question_id, category, text``; a question with a category is searched in that category
-    only. Notes' words meet the questions' words, which are broadcast while they are few, and are counted
-    for each note and question inside the task before anything is shuffled. Rows that repeat a note_id
+    only. Notes' words meet the questions' words, about `BROADCAST_ROWS` of them at a time, by broadcast, so
+    a frequent word stays spread as the notes are; they are counted for each note and question inside the
+    task before anything is shuffled. Rows that repeat a note_id
     count together. Notes and questions without keywords find nothing.
     """
-    asked = questions.select("question_id", F.col("category").alias("in_category"), F.explode(keywords(F.col("text"))).alias("word"))
+    asked = stored(questions.select("question_id", F.col("category").alias("in_category"), F.explode(keywords(F.col("text"))).alias("word")), "asked")
     words = spread(notes.select("note_id", "category", "text")).select("note_id", "category", F.explode(keywords(F.col("text"))).alias("word"))
-    side = F.broadcast(asked) if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked
-    shared = words.join(side, "word").where(F.col("in_category").isNull() | (F.col("in_category") == F.col("category")))
-    return shared.groupBy("question_id", "note_id").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least)
+    blocks, found = max(1, -(-asked.count() // BROADCAST_ROWS)), None
+    for k in range(blocks):
+        side = F.broadcast(asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k) if blocks > 1 else asked)
+        shared = words.join(side, "word").where(F.col("in_category").isNull() | (F.col("in_category") == F.col("category")))
+        part = shared.groupBy("question_id", "note_id").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least)
+        found = part if found is None else found.unionByName(part)
+    return found
 
 
 def search(notes: DataFrame, questions: DataFrame, top: int = 5, least: int = 1) -> DataFrame:

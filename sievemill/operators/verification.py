@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import IDEOGRAPHS, doi, keywords, tokens
 from ..sources.tables import spread
+from ..storage import stored
 
 #: Titles of one or two words that are searched in one pass; so many come to the driver at a time.
 SHORT_BLOCK = 20_000
+#: Longer titles that go to every task at a time, and texts whose words are counted to tell rare ones.
+ANCHOR_BLOCK, COUNTED_TEXTS = 50_000, 5_000
 
 
 def verify(files: DataFrame, studies: DataFrame, least: float = 0.6) -> DataFrame:
@@ -53,25 +56,37 @@ def _holding(texts: DataFrame, titles: list[str]) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, title string")
 
 
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """``anchor, texts``: how many of about `COUNTED_TEXTS` texts have a word. Only a guide to which words are rare."""
+    share = min(1.0, COUNTED_TEXTS / max(texts.count(), 1))
+    some = texts if share == 1 else texts.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return some.select(F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("texts"))
+
+
 def texts_with_titles(texts: DataFrame, titles: DataFrame, block: int = SHORT_BLOCK) -> DataFrame:
     """(doc_id, item_id) of the texts that hold a title word for word.
 
-    texts: ``doc_id, text``; titles: ``item_id, title``. The longest inner word of a title of three
-    words or more must be a word of the text, which makes an equality join; the few pairs that share it
-    are then searched. Shorter titles have no inner word: they are searched as a set of queries, about
+    texts: ``doc_id, text``; titles: ``item_id, title``. An inner word of a title of three words or more
+    must be a word of the text: the one that is rarest in a sample of texts makes an equality join, with
+    about `ANCHOR_BLOCK` titles at a time, and the few pairs that share it are then searched. Shorter titles have no inner word: they are searched as a set of queries, about
     ``block`` at a time, each block in one pass over all texts. Null and empty titles are found nowhere;
     a title may begin and end inside a word.
     """
     words = F.split("title", "[ \n]")
-    rows = titles.where("title <> ''").select("item_id", "title", words.alias("words"))
-    inner = F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchored = rows.where(F.size("words") > 2).select("item_id", "title", longest.alias("anchor"))
-    anchors = anchored.select("anchor").distinct()
+    rows = stored(titles.where("title <> ''").select("item_id", "title", words.alias("words")), "titles")
     texts = spread(texts.select("doc_id", "text"))
-    of_text = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("anchor")).join(anchors, "anchor", "left_semi")
-    pairs = of_text.join(anchored, "anchor").select("doc_id", "item_id", "title")
-    found = pairs.join(texts, "doc_id").where(F.col("text").contains(F.col("title"))).select("doc_id", "item_id")
+    inner = rows.where(F.size("words") > 2).select("item_id", "title", F.explode(F.array_distinct(F.slice("words", 2, F.size("words") - 2))).alias("anchor"))
+    counted = _word_counts(texts)
+    rarest = inner.join(counted, "anchor", "left").groupBy("item_id", "title").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)), -F.length("anchor"), F.col("anchor").alias("anchor"))).alias("least"))
+    anchored = stored(rarest.select("item_id", "title", "least.anchor"), "anchors")
+    of_text, found = texts.select("doc_id", F.explode(F.array_distinct(F.split("text", "[ \n]"))).alias("anchor")), None
+    blocks = max(1, -(-anchored.count() // ANCHOR_BLOCK))
+    for k in range(blocks):
+        # Titles go to every task, so an anchor that many texts have stays spread as the texts are.
+        side = F.broadcast(anchored.where(F.pmod(F.xxhash64("title"), F.lit(blocks)) == k) if blocks > 1 else anchored)
+        pairs = of_text.join(side, "anchor").select("doc_id", "item_id", "title")
+        part = pairs.join(texts, "doc_id").where(F.col("text").contains(F.col("title"))).select("doc_id", "item_id")
+        found = part if found is None else found.unionByName(part)
     short = rows.where(F.size("words") <= 2).select("item_id", "title")
     blocks = -(-short.count() // block)
     for k in range(blocks):

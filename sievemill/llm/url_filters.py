@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.extraction import TAG, attribute
 from .components import connected_components
-from .shared import lower_az, stored
+from .shared import join_keyed, lower_az, stored
 
 
 class Rule(NamedTuple):
@@ -25,6 +25,8 @@ class Rule(NamedTuple):
 
 #: Rules up to this many are part of the plan; more are joined by host suffix.
 INLINE_RULES = 64
+#: Rules up to which their table goes to every task.
+BROADCAST_RULES = 1_000_000
 #: Query fields that only say where a reader came from.
 TRACKING = r"^(utm_[A-Za-z]+|gclid|fbclid|ref)(=|$)"
 #: Target of a refresh, in the content of its tag.
@@ -106,10 +108,13 @@ def _rule_columns(rows: DataFrame, rules: list[Rule]) -> DataFrame:
     table = spark.createDataFrame([(r.host, r.path, len(r.host + r.path), int(r.verdict == "allow"), r.host + r.path, r.verdict) for r in rules], "suffix string, start string, size int, allows int, rule string, own string")
     labels = F.split("host", "\\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    urls = stored(rows.select("host", "path").where("host <> ''").distinct(), "urls")
+    urls = stored(rows.where("host <> ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")), "urls")
+    # A suffix such as com has a share of all URLs; the rules, a list of the driver's, go to every task.
+    table = F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
     fitting = urls.withColumn("suffix", F.explode(suffixes)).join(table, "suffix").where(F.col("path").startswith(F.col("start")))
-    chosen = fitting.groupBy("host", "path").agg(F.max(F.struct("size", "allows", "rule", "own")).alias("best"))
-    return rows.join(chosen, ["host", "path"], "left").select(*rows.columns, "best.rule", "best.own")
+    chosen = fitting.groupBy("host", "path").agg(F.max(F.struct("size", "allows", "rule", "own")).alias("best"), F.max("n").alias("n"))
+    total = urls.agg(F.sum("n")).first()[0] or 0
+    return join_keyed(rows, chosen, ["host", "path"], "n", total, "left").select(*rows.columns, "best.rule", "best.own")
 
 
 def judge_urls(
@@ -128,6 +133,7 @@ def judge_urls(
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"), url_node(url).alias("node"))
     rows = stored(_rule_columns(rows, rules), "judged")
+    total = rows.count()
 
     edges = [declared_edges(pages, url_col, html_col)] if html_col else []
     if redirects is not None:
@@ -136,10 +142,12 @@ def judge_urls(
     if edges:
         every = stored(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1]), "aliases")
         if not every.isEmpty():
-            joined = rows.join(connected_components(every), "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+            sized = connected_components(every).join(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node")
+            joined = join_keyed(rows, stored(sized, "components"), "node", "n", total, "left").withColumn("node", F.coalesce("component", "node")).drop("component")
     # Only groups with both a decision to hand on and a URL without one go back to the pages.
     heard = joined.where("node IS NOT NULL").groupBy("node").agg(
-        F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"), F.max(F.col("own").isNull()).alias("open")
+        F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"), F.max(F.col("own").isNull()).alias("open"), F.count(F.lit(1)).alias("n")
     )
-    heard = heard.where("open AND (allowed OR blocked)").select("node", F.when(F.col("allowed"), F.lit("allow")).otherwise(F.lit("block")).alias("heard"))
-    return joined.join(heard, "node", "left").select("page_id", "host", "path", "rule", F.coalesce("own", "heard", F.lit(default)).alias("verdict"))
+    heard = heard.where("open AND (allowed OR blocked)").select("node", "n", F.when(F.col("allowed"), F.lit("allow")).otherwise(F.lit("block")).alias("heard"))
+    # A name with very many pages, under tracking parameters or in a large component, meets its verdict by broadcast.
+    return join_keyed(joined, stored(heard, "heard"), "node", "n", total, "left").select("page_id", "host", "path", "rule", F.coalesce("own", "heard", F.lit(default)).alias("verdict"))

@@ -29,6 +29,8 @@ STUDY = T.StructType(
 
 #: Tables of so many splits or more are never dealt anew.
 FEW_SPLITS = 32
+#: A file has a split for so many bytes at least.
+SPLIT_BYTES = 128 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +38,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """A small table dealt over all cores, for costly work on rows that lie in a few splits; a larger one as it is."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else rows
+    """A small table dealt over all cores, for costly work on rows that lie in a few splits; a larger one as it is.
+
+    What it comes from is told by the number and size of the files below it, so that nothing runs before an action.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files, size = len(rows._jdf.inputFiles()), int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    splits = max(files, size // SPLIT_BYTES)
+    return rows.repartition(cores) if splits < min(cores, FEW_SPLITS) else rows
 
 
 def read_info_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

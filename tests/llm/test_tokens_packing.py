@@ -38,7 +38,7 @@ def ids():
 
 
 def counted(counts, t):
-    return counts.library(t) if any(28 <= ord(c) <= 31 for c in t) else counts.count(t)
+    return counts.count(t)
 
 
 def test_whole_tokens_are_proven(counts, library):

@@ -14,7 +14,7 @@ from ..operators import extraction, fallback, progress, queue, retrieval, verifi
 from ..sources.tables import download_input, fetched_pdfs, read_pdfs, read_table, resolve_case, write_by_case
 from ..storage import fresh_path, stored
 from ..streaming import queue as streams
-from . import copy_queries, damage_queries, file_queries, queue_queries, reference_queries, search_queries, vector_queries
+from . import copy_queries, damage_queries, file_queries, queue_queries, reference_queries, search_queries, summary_queries, vector_queries
 
 # ---- derived inputs: the same expressions run in Spark and in DuckDB
 
@@ -547,7 +547,7 @@ QUERIES = {
     "applied_backfill": applied_backfill,
     "only_case": only_case,
 }
-MORE = (search_queries, copy_queries, reference_queries, damage_queries, queue_queries, file_queries, vector_queries)
+MORE = (search_queries, copy_queries, reference_queries, damage_queries, queue_queries, file_queries, vector_queries, summary_queries)
 for _module in MORE:
     QUERIES |= _module.QUERIES
 

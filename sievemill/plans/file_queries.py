@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_structures, read_table
+from ..sources.tables import read_damaged_info, read_structures, read_table
 from ..storage import fresh_path
 
 _HEAD = "'%PDF-1.4\n'"
@@ -35,5 +35,32 @@ SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE s_suppkey % 6 WHEN 1 THEN 't
 FROM supplier
 """
 
-QUERIES = {"pdf_structure": pdf_structure}
-ORACLES = {"pdf_structure": STRUCTURE}
+def damaged_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An info table of all documents in three files of other columns each: years that are none, unknown columns, values beyond the header."""
+    base = fresh_path(spark, "info")
+    docs = read_table(spark, sf_dir, "documents").selectExpr("doc_id", "source", "cast(doc_id AS string) AS id", "concat('Author \"', doc_id % 97, '\"\n& others') AS author", "CASE WHEN doc_id % 5 = 0 THEN concat('ca. ', doc_id % 30) ELSE cast(1990 + doc_id % 30 AS string) END AS year")
+    write = lambda rows, name, **options: rows.write.options(header=True, escape='"', **options).csv(f"{base}/{name}")
+    write(docs.where("doc_id % 3 = 0").selectExpr("source AS case_name", "id AS study_id", "author", "year"), "plain")
+    write(docs.where("doc_id % 3 = 1").selectExpr("year AS ` Year`", "'seen' AS Note", "id AS STUDY_ID", "source AS case_name", "author", "'again' AS ` note`"), "other")
+    # Written as one column with another separator, so that a line may have more fields than its header.
+    beyond = docs.where("doc_id % 3 = 2").selectExpr("concat(id, ',', source, CASE WHEN doc_id % 2 = 0 THEN ',more' ELSE '' END) AS `study_id,case_name`")
+    write(beyond, "beyond", sep=";")
+    found = read_damaged_info(spark, f"{base}/*")
+    return found.select("case_name", "study_id", "author", "year", F.col("rescued").cast("string").alias("rescued"))
+
+
+DAMAGED = """
+WITH d AS (
+  SELECT doc_id, source AS case_name, CAST(doc_id AS VARCHAR) AS study_id, 'Author "' || doc_id % 97 || '"' || chr(10) || '& others' AS author,
+         CASE WHEN doc_id % 5 <> 0 THEN CAST(1990 + doc_id % 30 AS INTEGER) END AS year, CASE WHEN doc_id % 5 = 0 THEN '"year":"ca. ' || doc_id % 30 || '"' END AS odd
+  FROM documents
+)
+SELECT case_name, study_id, author, year, '{' || odd || '}' AS rescued FROM d WHERE doc_id % 3 = 0
+UNION ALL
+SELECT case_name, study_id, author, year, '{"note":"seen","note#6":"again"' || coalesce(',' || odd, '') || '}' FROM d WHERE doc_id % 3 = 1
+UNION ALL
+SELECT case_name, study_id, NULL, NULL, CASE WHEN doc_id % 2 = 0 THEN '{"column_3":"more"}' END FROM d WHERE doc_id % 3 = 2
+"""
+
+QUERIES = {"pdf_structure": pdf_structure, "damaged_info": damaged_info}
+ORACLES = {"pdf_structure": STRUCTURE, "damaged_info": DAMAGED}

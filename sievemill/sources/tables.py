@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.pdf import structure
+from ..joins import join_keyed
 from ..storage import stored
 from ..tasks import arrow_map
 
@@ -55,6 +56,49 @@ def read_info_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
+#: Columns that a row of an info table may have.
+MOST_COLUMNS = 64
+
+
+def read_damaged_info(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
+    """The studies of info tables in whatever state: the columns of `STUDY`, ``file`` and ``rescued``.
+
+    Each file's first row names its columns, in any order and case, with or without spaces around; files
+    needn't agree. rescued, a variant, has what the row shows besides, or null: values of unknown columns by
+    their names, of repeated ones with their number, values beyond the header as ``column_9``, and known
+    values that aren't of their type. So no row and no value is lost, and a row that is short has nulls. Quotes
+    may hold line ends; one that is never closed takes the rest of its file into its field. A row of more
+    than `MOST_COLUMNS` has its whole line in ``line``. Blank lines are no rows; an empty file has none.
+    """
+    raw = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(MOST_COLUMNS)] + [T.StructField("line", T.StringType())])
+    reader = spark.read.schema(raw).option("sep", separator).option("multiLine", True).option("escape", '"').option("columnNameOfCorruptRecord", "line")
+    rows = reader.csv(path).select("*", F.col("_metadata.file_path").alias("file")).withColumn("place", F.monotonically_increasing_id())
+    cells = F.array(*[f"c{k}" for k in range(MOST_COLUMNS)])
+    rows = stored(rows.select("file", "place", cells.alias("cells"), F.when(F.col(f"c{MOST_COLUMNS - 1}").isNotNull(), F.col("line")).alias("line")), "info")
+    # The first row of a file is the one with the least number, as a file with line ends in quotes is read in one go.
+    heads = rows.groupBy("file").agg(F.min(F.struct("place", "cells")).alias("head"), F.count(F.lit(1)).alias("rows")).select("file", F.col("head.place").alias("first"), F.col("head.cells").alias("names"), "rows")
+    met = join_keyed(rows, stored(heads, "heads"), "file", "rows", rows.count()).where("place > first")
+    known = [f.name for f in STUDY]
+    plain = F.transform("names", lambda n: F.lower(F.trim(n)))
+    met = met.withColumn("plain", plain)
+    value = {c: F.get("cells", (F.array_position("plain", c) - 1).cast("int")) for c in known}
+    cast = {f.name: value[f.name].try_cast(f.dataType) if not isinstance(f.dataType, T.StringType) else value[f.name] for f in STUDY}
+
+    def rest(k: Column) -> Column:
+        name, at = F.get("plain", k), F.array_position("plain", F.get("plain", k)) - 1
+        label = F.when(F.coalesce(name, F.lit("")) == "", F.concat(F.lit("column_"), k + 1)).when(at == k, name).otherwise(F.concat(name, F.lit("#"), k + 1))
+        return F.struct(label.alias("key"), F.get("cells", k).alias("value"))
+
+    bad = {c: F.col(f"__{c}").isNull() & value[c].isNotNull() for c in known if not isinstance(STUDY[c].dataType, T.StringType)}
+    misfit = F.array(*[F.when(v, F.lit(c)) for c, v in bad.items()])
+    every = F.transform(F.sequence(F.lit(0), F.lit(MOST_COLUMNS - 1)), rest)
+    kept = F.filter(every, lambda x: x["value"].isNotNull() & (~x["key"].isin(known) | F.array_contains(misfit, x["key"])))
+    kept = F.concat(kept, F.when(F.col("line").isNotNull(), F.array(F.struct(F.lit("line").alias("key"), F.col("line").alias("value")))).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+    rescued = F.when(F.size(kept) > 0, F.parse_json(F.to_json(F.map_from_entries(kept))))
+    typed = met.select("*", *[cast[c].alias(f"__{c}") for c in known])
+    return typed.select(*[F.col(f"__{c}").alias(c) for c in known], "file", rescued.alias("rescued"))
+
+
 def download_input(info: DataFrame, case_name: str | None = None) -> DataFrame:
     """What a download needs of an info table: one row a study of the case, DOIs lower-cased."""
     rows = info if case_name is None else info.where(F.col("case_name") == case_name)

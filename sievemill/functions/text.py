@@ -33,9 +33,12 @@ def _runs(text: Column, times: str) -> Column:
 
 def _grams(run: Column) -> Column:
     """Overlapping pairs of signs of a run; a single sign is itself."""
-    signs = F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(0), F.size(signs) - GRAM), lambda k: F.concat(signs[k], signs[k + 1]))
-    return F.when(F.size(signs) < GRAM, signs).otherwise(pairs)
+    def pairs(signs: Column) -> Column:
+        both = F.transform(F.sequence(F.lit(0), F.size(signs) - GRAM), lambda k: F.concat(signs[k], signs[k + 1]))
+        return F.when(F.size(signs) < GRAM, signs).otherwise(both)
+
+    # The signs as an element of an array are cut out once, and not again for every pair.
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))), pairs))
 
 
 def _words(text: Column, times: str) -> Column:

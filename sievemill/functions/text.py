@@ -31,21 +31,14 @@ def _runs(text: Column, times: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]" + times), F.lit(0))
 
 
-def _grams(run: Column) -> Column:
-    """Overlapping pairs of signs of a run; a single sign is itself."""
-    def pairs(signs: Column) -> Column:
-        both = F.transform(F.sequence(F.lit(0), F.size(signs) - GRAM), lambda k: F.concat(signs[k], signs[k + 1]))
-        return F.when(F.size(signs) < GRAM, signs).otherwise(both)
+def _words(text: Column, times: str, stopwords: tuple = ()) -> Column:
+    """Runs in order, of texts with ideographs without ``stopwords``; runs of ideographs, which stand alone, as overlapping pairs of signs.
 
-    # The signs as an element of an array are cut out once, and not again for every pair.
-    return F.flatten(F.transform(F.array(F.regexp_extract_all(run, F.lit("(?s)."), F.lit(0))), pairs))
-
-
-def _words(text: Column, times: str) -> Column:
-    """Runs in order; those of ideographs, which stand alone, as grams."""
-    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"([{IDEOGRAPHS}]+)", " $1 ")
-    runs = F.regexp_extract_all(apart, F.lit(rf"[{IDEOGRAPHS}]+|[\p{{L}}\p{{N}}]{times}"), F.lit(0))
-    mixed = F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^[{IDEOGRAPHS}]"), _grams(r)).otherwise(F.array(r))))
+    One pass of a pattern that takes no room: at each place it looks ahead for a pair, a single sign or the beginning of a run. Looking back goes up to two places, as some signs take two.
+    """
+    sign, other = f"[{IDEOGRAPHS}]", rf"[\p{{L}}\p{{N}}&&[^{IDEOGRAPHS}]]"
+    left_out = rf"(?!(?:{'|'.join(stopwords)})(?!{other}))" if stopwords else ""
+    mixed = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?=({sign}{{{GRAM}}}|(?<!{sign}{{1,2}}){sign}(?!{sign})|(?<!{other}{{1,2}}){left_out}{other}{times}))"), F.lit(1))
     return F.when(F.coalesce(text, F.lit("")).rlike(f"[{IDEOGRAPHS}]"), mixed).otherwise(_runs(text, times))
 
 
@@ -57,7 +50,8 @@ def keywords(title: Column, stopwords: tuple = STOPWORDS) -> Column:
 def terms(text: Column, stopwords: tuple = STOPWORDS) -> Column:
     """What `keywords` gives, with repeats: the terms of an index."""
     stops = F.array(*[F.lit(w) for w in stopwords])
-    return F.filter(_words(text, "{3,}"), lambda w: ~F.array_contains(stops, w))
+    plain = F.filter(_runs(text, "{3,}"), lambda w: ~F.array_contains(stops, w))
+    return F.when(F.coalesce(text, F.lit("")).rlike(f"[{IDEOGRAPHS}]"), _words(text, "{3,}", stopwords)).otherwise(plain)
 
 
 def file_name(author: Column, year: Column, title: Column, words: int = 6) -> Column:

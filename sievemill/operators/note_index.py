@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..joins import join_keyed
 from ..sources.tables import spread
 from ..storage import stored
 from ..versions import Versions
 
 #: How much a repeated term and a note's length count.
 K1, B = 1.2, 0.75
-#: Rows of a file of postings.
-FILE_ROWS = 5_000_000
 #: Terms of questions that go to every task; more are asked in blocks, one pass over the postings each.
 ASKED_TERMS = 200_000
 
 
+def _counted(words: Column) -> Column:
+    """``term, times, length`` of each different term of a note: runs of equal terms once these are sorted, so that no two rows have to meet."""
+
+    def runs(w: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda k: (k == F.size(w) - 1) | (F.get(w, k) != F.get(w, k + 1)))
+        run = lambda e: F.transform(e, lambda at, k: F.struct(F.get(w, at).alias("term"), (at - F.when(k > 0, F.get(e, k - 1)).otherwise(-1)).cast("long").alias("times"), F.size(w).cast("long").alias("length")))
+        return F.flatten(F.transform(F.array(ends), run))
+
+    # Sorted once, as the element of an array, and not again for every term.
+    return F.flatten(F.transform(F.filter(F.array(F.sort_array(words)), lambda w: F.size(w) > 0), runs))
+
+
 class NoteIndex:
     """Postings of notes (``note_id, category, text``) below a folder.
 
@@ -45,17 +56,20 @@ class NoteIndex:
         known = self._tables("notes")
         if known is not None:
             rows = rows.join(known.select("note_id"), "note_id", "left_anti")
-        words = rows.select("note_id", "category", terms(F.col("text")).alias("terms"))
-        words = stored(words.withColumn("n", F.size("terms")), "note-terms")
-        lengths = words.groupBy("note_id").agg(F.sum("n").alias("length"), F.min("category").alias("category"))
         folder = self.versions.fresh()
+        lengths = rows.select("note_id", "category", F.size(terms(F.col("text"))).alias("n")).groupBy("note_id").agg(F.sum("n").alias("length"), F.min("category").alias("category"))
         lengths.write.parquet(f"{folder}/notes")
-        found = words.select("note_id", "n", F.explode("terms").alias("term")).groupBy("note_id", "term").agg(F.count(F.lit(1)).alias("times"))
-        postings = stored(found.join(self.spark.read.parquet(f"{folder}/notes"), "note_id"), "postings")
-        files = max(1, ceil(postings.count() / FILE_ROWS))
-        # By term and note, so that a term of any number of notes lies in several files, and few files hold a given term.
-        postings.repartitionByRange(files, "term", "note_id").sortWithinPartitions("term", "note_id").write.parquet(f"{folder}/postings")
-        postings.groupBy("term").agg(F.count(F.lit(1)).alias("notes")).write.parquet(f"{folder}/terms")
+        # Terms of a note that is one row are counted where it is, without a shuffle; only notes of several rows have to meet.
+        several = stored(rows.groupBy("note_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "several")
+        postings, shared = rows.select("note_id", "category", F.explode(_counted(terms(F.col("text")))).alias("p")).select("note_id", "p.length", "category", "p.term", "p.times"), None
+        if several.head(1):
+            whole = self.spark.read.parquet(f"{folder}/notes").join(several, "note_id").select("note_id", F.struct("length", "category").alias("whole"), "rows")
+            met = join_keyed(postings, stored(whole, "whole"), "note_id", "rows", rows.count(), "left")
+            shared = met.where("whole IS NOT NULL").groupBy("note_id", "whole", "term").agg(F.sum("times").alias("times"))
+            shared = shared.select("note_id", "whole.length", "whole.category", "term", "times")
+            postings = met.where("whole IS NULL").drop("whole").unionByName(shared)
+        postings.sortWithinPartitions("term", "note_id").write.parquet(f"{folder}/postings")
+        self.spark.read.schema(postings.schema).parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("notes")).write.parquet(f"{folder}/terms")
         entries = self.versions.entries(version)
         return self.versions.commit({**entries, f"segment-{len(entries):06d}": folder}, version)
 

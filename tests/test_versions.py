@@ -122,3 +122,30 @@ def test_index_in_blocks(spark, tmp_path, monkeypatch):
     whole = rows_of(index.search(asked))
     monkeypatch.setattr(note_index, "ASKED_TERMS", 20)
     assert rows_of(index.search(asked)) == whole and len(whole) == 150
+
+
+def test_an_index_is_written_without_a_shuffle_of_terms(spark, tmp_path, monkeypatch):
+    """Notes of one row and of several, against counting by hand; nothing but ids and lengths is dealt."""
+    from collections import Counter
+
+    rows = [(k, "c" if k % 3 else None, " ".join(f"w{(k * j) % 11}xx 研究所{'天地'[j % 2]}" for j in range(k % 9))) for k in range(60)]
+    rows += [(k, "a", "again 研究 the w1xx") for k in range(0, 60, 10)]
+    index = NoteIndex(spark, f"{tmp_path}/i")
+    index.append(spark.createDataFrame(rows, "note_id long, category string, text string").repartition(5))
+    want, least = {}, {}
+    for k, category, text in rows:
+        found = want.setdefault(k, Counter())
+        for word in text.split():
+            found.update([word[i : i + 2] for i in range(len(word) - 1)] if "研" in word else [] if word == "the" else [word])
+        least[k] = min((c for c in (category, least.get(k)) if c is not None), default=None)
+    folder = index.versions.entries()["segment-000000"]
+    got = spark.read.parquet(f"{folder}/postings").collect()
+    assert {(r.note_id, r.term, r.times, r.length, r.category) for r in got} == {(k, t, n, sum(c.values()), least[k]) for k, c in want.items() for t, n in c.items()}
+    assert len(got) == sum(map(len, want.values()))
+    single = spark.createDataFrame(rows[:60], "note_id long, category string, text string")
+    written = []
+    original = type(single.write).parquet
+    monkeypatch.setattr(type(single.write), "parquet", lambda self, path, *a, **k: (written.append((path, self._df._jdf.queryExecution().executedPlan().toString())), original(self, path, *a, **k))[1])
+    NoteIndex(spark, f"{tmp_path}/j").append(single)
+    plan = next(p for path, p in written if path.endswith("/postings"))
+    assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from ..operators.queue import ENGINE_SECONDS, ROUND_SECONDS
 from ..tasks import send_code
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Buckets of tasks that share a state.
+BUCKETS = 2048
 #: Event time may be out of order by so much.
 DELAY = "10 minutes"
 
@@ -67,46 +70,74 @@ def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-class OpenRound(StatefulProcessor):
-    """Holds a task's pull until its push comes or its limit passes in event time.
+class OpenRounds(StatefulProcessor):
+    """Holds the pulls of a bucket of tasks until each one's push comes or its limit passes in event time.
 
-    Input rows: ``task_id, event_ts, kind`` with kind pull or push. Output: ``task_id, latency, status``.
-    A push without a pull is ignored, as is anything after a task's outcome but a new pull.
+    Input rows: ``bucket, task_id, event_ts, kind`` with kind pull or push. Output: ``task_id, latency, status``.
+    A push without a pull is ignored, as is anything after a task's outcome but a new pull. A bucket has one
+    timer, for the limit that passes first.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pulled = handle.getValueState("pulled", "ts timestamp")
+        self.pulled = handle.getValueState("pulled", "tasks binary, at binary")
+
+    def _held(self) -> dict[int, int]:
+        """By task when its open round was pulled, in microseconds."""
+        if not self.pulled.exists():
+            return {}
+        tasks, at = self.pulled.get()
+        return dict(zip(np.frombuffer(tasks, np.int64).tolist(), np.frombuffer(at, np.int64).tolist()))
+
+    def _hold(self, held: dict[int, int]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not held:
+            self.pulled.clear()
+            return
+        self.pulled.update((np.array(list(held), np.int64).tobytes(), np.array(list(held.values()), np.int64).tobytes()))
+        self.handle.registerTimer(_deadline(min(held.values())))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["event_ts", "kind"])
-        for at, kind in zip(events["event_ts"], events["kind"]):
+        held, done = self._held(), []
+        events = pd.concat([part[["task_id", "at", "kind"]] for part in rows]).sort_values(["at", "kind"])
+        for task, at, kind in zip(events["task_id"].tolist(), events["at"].tolist(), events["kind"].tolist()):
             if kind == "pull":
-                if not self.pulled.exists():
-                    self.pulled.update((at.to_pydatetime(),))
-                    self.handle.registerTimer(int(at.timestamp() * 1000) + ENGINE_SECONDS * 1000 + 1)
-            elif self.pulled.exists():
-                taken = (at - pd.Timestamp(self.pulled.get()[0])).total_seconds()
+                held.setdefault(task, at)
+            elif task in held:
+                taken = (at - held[task]) / 1e6
                 if taken <= ENGINE_SECONDS:
-                    self._clear()
-                    yield pd.DataFrame({"task_id": [key[0]], "latency": [taken], "status": ["ok" if taken <= ROUND_SECONDS else "at_risk"]})
-
-    def _clear(self) -> None:
-        self.pulled.clear()
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+                    del held[task]
+                    done.append((task, taken, "ok" if taken <= ROUND_SECONDS else "at_risk"))
+        self._hold(held)
+        yield pd.DataFrame(done, columns=OUTCOME).astype({"task_id": "int64", "latency": "float64", "status": "str"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.pulled.exists():
-            self.pulled.clear()
-            yield pd.DataFrame({"task_id": [key[0]], "latency": [float("nan")], "status": ["timed_out"]})
+        now, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        late = [task for task, at in held.items() if _deadline(at) <= now]
+        for task in late:
+            del held[task]
+        self._hold(held)
+        yield pd.DataFrame({"task_id": np.array(late, np.int64), "latency": np.full(len(late), np.nan), "status": ["timed_out"] * len(late)}).astype({"status": "str"})
 
     def close(self) -> None:
         pass
 
 
-def timed_rounds(events: DataFrame) -> DataFrame:
-    """Outcome of each task by event-time timers. events: a stream of ``task_id, event_ts, kind``. Needs the RocksDB state store."""
+def _deadline(at: int) -> int:
+    """When a round pulled ``at`` (microseconds) is over at the latest, in milliseconds."""
+    return at // 1000 + ENGINE_SECONDS * 1000 + 1
+
+
+OUTCOME = ["task_id", "latency", "status"]
+
+
+def timed_rounds(events: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Outcome of each task by event-time timers. events: a stream of ``task_id, event_ts, kind``. Needs the RocksDB state store.
+
+    Tasks share a state and a timer by ``buckets``, as a call of Python for each task takes longer than its work.
+    """
     send_code(events.sparkSession)
-    keyed = events.withWatermark("event_ts", DELAY).groupBy("task_id")
-    return keyed.transformWithStateInPandas(OpenRound(), "task_id long, latency double, status string", "Append", "EventTime")
+    keyed = events.withWatermark("event_ts", DELAY).where("task_id IS NOT NULL AND event_ts IS NOT NULL")
+    keyed = keyed.withColumn("bucket", F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int")).withColumn("at", F.unix_micros("event_ts")).groupBy("bucket")
+    return keyed.transformWithStateInPandas(OpenRounds(), "task_id long, latency double, status string", "Append", "EventTime")

@@ -38,3 +38,24 @@ def test_timers(spark, tmp_path):
     got = {r.task_id: r.status for r in spark.table("timed").collect()}
     spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == {1: "ok", 2: "at_risk", 3: "timed_out", 5: "timed_out"}
+
+
+def test_tasks_share_a_bucket(spark, tmp_path):
+    """Many tasks, few states: outcomes are as by hand, also where a pull and its push come in different batches."""
+    import random
+
+    rng, t0, rows, want = random.Random(3), dt.datetime(2024, 1, 1), [], {}
+    for task in range(300):
+        began, taken = rng.randrange(3_000), rng.choice([None, 0.25, 110, 110.001, 120, 120.001, 500])
+        rows.append((task, t0 + dt.timedelta(seconds=began), "pull"))
+        if taken is not None:
+            rows.append((task, t0 + dt.timedelta(seconds=began + taken), "push"))
+        want[task] = "timed_out" if taken is None or taken > 120 else "ok" if taken <= 110 else "at_risk"
+    rows.sort(key=lambda r: (r[1], r[2]))
+    schema = "task_id long, event_ts timestamp, kind string"
+    for part in [rows[k : k + 250] for k in range(0, len(rows), 250)] + [[(-1, dt.datetime(2100, 1, 1), "push")]]:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = streams.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
+    with streams.rocksdb(spark):
+        got = streams.drained(streams.timed_rounds(events, buckets=3), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    assert len(got) == 300 and {r.task_id: r.status for r in got} == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import read_damaged_info, read_structures, read_table
+from ..sources.tables import read_damaged_info, read_structures, read_table, write_files
 from ..storage import fresh_path
 
 _HEAD = "'%PDF-1.4\n'"
@@ -25,7 +25,7 @@ def pdf_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"concat(body, 'xref\n0 3\n0000000000 65535 f \n', {entry('a')}, {entry('b')}, 'trailer\n<< /Size 3 /Root 1 0 R >>\nstartxref\n', length(body), '\n%%EOF') AS pdf",
     )
     written = whole.selectExpr("s_suppkey", "CASE s_suppkey % 6 WHEN 1 THEN substring(pdf, 1, length(pdf) - 40) WHEN 2 THEN concat('<!DOCTYPE html><html>', s_name) WHEN 4 THEN s_name ELSE pdf END AS value")
-    written.write.partitionBy("s_suppkey").text(base)
+    write_files(written, "s_suppkey", base)
     return read_structures(spark, base).select(F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long").alias("s_suppkey"), "state", "version", "objects", "misplaced").where("s_suppkey IS NOT NULL")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, file_name, keywords, progress_key
 from ..operators import extraction, fallback, progress, queue, retrieval, verification
-from ..sources.tables import download_input, fetched_pdfs, read_pdfs, read_table, resolve_case, write_by_case
+from ..sources.tables import download_input, fetched_pdfs, read_pdfs, read_table, resolve_case, write_by_case, write_files
 from ..storage import fresh_path, stored
 from ..streaming import queue as streams
 from . import copy_queries, damage_queries, file_queries, queue_queries, reference_queries, search_queries, summary_queries, vector_queries
@@ -461,7 +461,7 @@ def fetched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = fresh_path(spark, "pdfs")
     suppliers = read_table(spark, sf_dir, "supplier")
     written = suppliers.where("s_suppkey % 5 <> 0").selectExpr("s_suppkey", "concat(CASE WHEN s_suppkey % 3 = 0 THEN '<html>' ELSE '%PDF-1.7 ' END, s_name) AS value")
-    written.write.partitionBy("s_suppkey").text(base)
+    write_files(written, "s_suppkey", base)
     files = read_pdfs(spark, base).withColumn("path", F.regexp_extract("path", r"s_suppkey=(\d+)/", 1))
     found = fetched_pdfs(suppliers.select(F.col("s_suppkey").cast("string").alias("path")), files)
     return found.select(F.col("path").cast("long").alias("s_suppkey"), "length", "state")

@@ -67,3 +67,16 @@ def test_files(spark, tmp_path):
     got = {r.path.split(f"{tmp_path.name}/")[1]: r.state for r in read_structures(spark, str(tmp_path)).collect()}
     assert {k: v for k, v in got.items() if "ü" not in k} == {"a b.pdf": "sound", "x/empty.pdf": "empty", "x/page.pdf": "html", "empty 2.pdf": "empty"}
     assert len(got) == 5 and sorted(got.values()).count("truncated") == 1
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp_path):
+    """Rows of one split: each its own file, and more than one task made them."""
+    from pyspark.sql import functions as F
+
+    from sievemill.sources.tables import write_files
+
+    rows = spark.range(40).coalesce(1).select(F.col("id").alias("k"), F.concat(F.lit("text "), F.col("id")).alias("value"))
+    write_files(rows, "k", f"{tmp_path}/f")
+    files = [p for p in (tmp_path / "f").rglob("part-*") if p.suffix == ".txt"]
+    assert {(p.parent.name, p.read_text()) for p in files} == {(f"k={k}", f"text {k}\n") for k in range(40)} and len(files) == 40
+    assert len({p.name.split("-")[1] for p in files}) > 1

@@ -7,6 +7,7 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..tasks import send_code
 #: Events of a lane may be so much older than its newest one.
 DELAY_SECONDS = 600
 OVERLAP = "lane long, task_id long, kind string, open_others long, late boolean"
+#: Events that are told one by one at a time.
+CHUNK = 100_000
 _LIMIT = ENGINE_SECONDS * 1_000_000
 
 
@@ -69,6 +72,14 @@ class Lane:
         return others
 
 
+def in_order(parts: list[np.ndarray]) -> np.ndarray:
+    """Different events (time, kind, task, paper) of all parts in order; ``parts`` is emptied.."""
+    events = np.concatenate(parts)
+    parts.clear()
+    events = events[np.lexsort(events.T[::-1])]
+    return events[np.concatenate([[True], (events[1:] != events[:-1]).any(axis=1)])[: len(events)]]
+
+
 class OverlapState(StatefulProcessor):
     """Keeps a lane's events until its newest one is `DELAY_SECONDS` later, then takes them in order."""
 
@@ -81,24 +92,32 @@ class OverlapState(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         newest, waiting, held = self.state.get() if self.state.exists() else (None, "[]", "{}")
         passed = None if newest is None else newest - self.delay
-        events, lane, out = {tuple(e) for e in json.loads(waiting)}, Lane(json.loads(held)), []
+        lane, parts = Lane(json.loads(held)), [np.array(json.loads(waiting), np.int64).reshape(-1, 4)]
         for part in rows:
-            for at, kind, task, paper in zip(part["at"].tolist(), part["kind"].tolist(), part["task_id"].tolist(), part["paper_id"].tolist()):
-                if passed is not None and at <= passed:
-                    out.append((key[0], int(task), kind, None, True))
-                else:
-                    events.add((int(at), int(kind == "pull"), int(task), int(paper)))
-                    newest = int(at) if newest is None else max(newest, int(at))
+            at = part["at"].to_numpy(np.int64)
+            late = at <= passed if passed is not None else np.zeros(len(at), bool)
+            if late.any():
+                yield self._frame([(key[0], int(t), k, None, True) for t, k in zip(part["task_id"][late], part["kind"][late])])
+            new = np.column_stack([at, (part["kind"] == "pull").to_numpy(np.int64), part["task_id"].to_numpy(np.int64), part["paper_id"].to_numpy(np.int64)])[~late]
+            if len(new):
+                parts.append(new)
+                newest = int(new[:, 0].max()) if newest is None else max(newest, int(new[:, 0].max()))
         if newest is not None:
-            for event in sorted(e for e in events if e[0] <= newest - self.delay):
-                others = lane.step(*event)
-                if others:
-                    out.append((key[0], event[2], "pull", others, False))
-            left = sorted(e for e in events if e[0] > newest - self.delay)
+            events = in_order(parts)
+            ripe = int(np.searchsorted(events[:, 0], newest - self.delay, "right"))
+            for cut in range(0, ripe, CHUNK):
+                out = []
+                for event in events[cut : min(cut + CHUNK, ripe)].tolist():
+                    others = lane.step(*event)
+                    if others:
+                        out.append((key[0], event[2], "pull", others, False))
+                yield self._frame(out)
             lane.expire(newest - self.delay)
-            self.state.update((newest, json.dumps(left), json.dumps(lane.held())))
+            self.state.update((newest, json.dumps(events[ripe:].tolist()), json.dumps(lane.held())))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
         frame = pd.DataFrame(out, columns=["lane", "task_id", "kind", "open_others", "late"])
-        yield frame.astype({"lane": "int64", "task_id": "int64", "kind": "str", "open_others": "Int64", "late": "bool"})
+        return frame.astype({"lane": "int64", "task_id": "int64", "kind": "str", "open_others": "Int64", "late": "bool"})
 
     def close(self) -> None:
         pass

@@ -94,3 +94,24 @@ def test_one_row_a_pull(spark, tmp_path):
     got = streams.drained(streams.status_of(joined), f"{tmp_path}/out", f"{tmp_path}/cp").where("task_id > 0").collect()
     assert sorted((r.task_id, r.push_ts, r.status) for r in got if r.push_ts) == [(1, s(20), "ok"), (2, s(118), "at_risk"), (4, s(1), "ok")]
     assert [(r.task_id, r.status) for r in got if not r.push_ts] == [(3, "timed_out")]
+
+
+def test_a_lane_of_many_events_takes_little_room():
+    """Events that a batch brings are held as numbers, not as objects."""
+    import tracemalloc
+
+    import numpy as np
+
+    from sievemill.streaming.overlaps import in_order
+
+    rng = np.random.default_rng(1)
+    parts = [rng.integers(0, 50, (2_000, 4)) for _ in range(100)] + [np.zeros((0, 4), np.int64)]
+    want = sorted({tuple(e) for p in parts for e in p.tolist()})
+    assert [tuple(e) for e in in_order(parts).tolist()] == want and not parts
+    assert in_order([np.zeros((0, 4), np.int64)]).shape == (0, 4)
+    parts = [rng.integers(0, 10**15, (2_000, 4)) for _ in range(100)]
+    tracemalloc.start()
+    found = in_order(parts)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(found) == 200_000 and peak < 200_000 * 120

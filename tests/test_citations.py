@@ -92,3 +92,10 @@ def test_a_review_votes(spark):
     assert by_id[4] == {w for _, _, w in LINES}
     assert {r.doi for r in got if r.id == 1} == {None, "10.1000/x.1", "10.1234/abc.5"}
     assert included_studies(table.limit(0), "doc_id", "text").collect() == []
+
+
+def test_a_style_without_its_year_costs_no_path():
+    """Scores aren't asked for: a style whose form of a year no word has can't read the line."""
+    for style in STYLES:
+        assert best_path(style, "Smith J. Air and health. Lancet.".split(), scores=None) == (NEVER, [])
+        assert best_path(style, ["Smith", "J."], scores=[]) == (NEVER, [])

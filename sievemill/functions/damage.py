@@ -11,14 +11,26 @@ import numpy as np
 GRAM = 8
 
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-‐‑]\s*\n\s*(?=[^\W\d_])")
-_DASHES = str.maketrans({c: "-" for c in "‐‑‒–—−"} | {"­": None, "’": "'", "‘": "'", "“": '"', "”": '"'})
+_DASHED = {c: "-" for c in "‐‑‒–—−"} | {"­": "", "’": "'", "‘": "'", "“": '"', "”": '"'}
+LIGATURES = {c: unicodedata.normalize("NFKC", c) for c in "\uFB00\uFB01\uFB02\uFB03\uFB04\uFB05\uFB06"}
+
+
+def _wide(text: str) -> str:
+    """NFKC of a text with its dashes and quotes as plain ones. A step is taken only where it changes something, as rewriting whole texts is costly; often ligatures are all there is."""
+    for sign, plain_sign in _DASHED.items():
+        text = text.replace(sign, plain_sign)
+    if unicodedata.is_normalized("NFKC", text):
+        return text
+    for sign, letters in LIGATURES.items():
+        text = text.replace(sign, letters)
+    return text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)
 
 
 def plain(text: str | None) -> str:
     """Ligatures and wide signs as plain ones, words broken at line ends joined, white space one space, lower case."""
     if not text:
         return ""
-    whole = text if text.isascii() else unicodedata.normalize("NFKC", text.translate(_DASHES))
+    whole = text if text.isascii() else _wide(text)
     return " ".join(_BROKEN.sub("", whole).lower().split())
 
 

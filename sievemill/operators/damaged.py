@@ -26,6 +26,8 @@ DAMAGE = 0.05
 CELLS = 1 << 22
 #: Titles' grams that go to every task at a time, in rows and in signs of titles; more are met in blocks, each a pass over the places found.
 BLOCK_ROWS, BLOCK_SIGNS = 100_000, 16 << 20
+#: Places of grams that a task holds while it counts.
+HELD = 1_000_000
 
 
 def _cells(codes: np.ndarray) -> np.ndarray:
@@ -40,15 +42,19 @@ def _title_grams(damage: float):
                 if len(title) >= GRAM:
                     codes, allowed = gram_codes(title), errors_allowed(len(title), damage)
                     for part, (a, b) in enumerate(segments(len(title), allowed)):
-                        out += [(title, allowed, part, at, int(codes[at])) for at in range(a, b - GRAM + 1)]
-            columns = [*zip(*out)] if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], ["title", "allowed", "part", "at", "gram"])
+                        out += [(title, allowed, part, a, b, at, int(codes[at])) for at in range(a, b - GRAM + 1)]
+            columns = [*zip(*out)] if out else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), *[pa.int32()] * 5, pa.int64()))], ["title", "allowed", "part", "start", "stop", "at", "gram"])
 
     return run
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as `plain` makes them. Nulls go here: a filter outside would make Spark derive each text twice."""
+    import pyarrow.compute as pc
+
     for batch in batches:
+        batch = batch.filter(pc.is_valid(batch.column(1)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([plain(t) for t in batch.column(1).to_pylist()], pa.string())], batch.schema.names)
 
 
@@ -58,37 +64,58 @@ def _marks(cells: np.ndarray) -> np.ndarray:
     return marks
 
 
-def _scanned(held, reach: int, counting: bool):
-    """Places of marked grams in each text; counting: how often each gram stands there, without the text around."""
+def _counts(held):
+    """How often each marked gram stands in some texts: a row a gram for every `HELD` places, or for a batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = held.value
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            some: list[np.ndarray] = []
+            n, texts = 0, batch.column(1).to_pylist()
+            for k, text in enumerate(texts):
                 codes = gram_codes(text)
-                places = np.flatnonzero(marks[_cells(codes)]) if len(codes) else np.zeros(0, np.int64)
-                if not len(places):
-                    continue
-                if counting:
-                    grams, times = np.unique(codes[places], return_counts=True)
+                some.append(codes[marks[_cells(codes)]])
+                n += len(some[-1])
+                if k + 1 == len(texts) or n >= HELD:
+                    grams, times = np.unique(np.concatenate(some), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times)], ["gram", "times"])
-                    continue
-                for cut in range(0, len(places), 2_000):
-                    some = places[cut : cut + 2_000].tolist()
-                    lows = [max(p - reach, 0) for p in some]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[k]] * len(some), batch.schema.field(0).type), pa.array(codes[some]), pa.array([p - low for p, low in zip(some, lows)], pa.int32()), pa.array([text[low : p + reach + GRAM] for p, low in zip(some, lows)], pa.string())],
-                        ["doc_id", "gram", "place", "around"],
-                    )
+                    some, n = [], 0
+
+    return run
+
+
+def _places(held, reach: int):
+    """Places of marked grams in each text, with the text around."""
+
+    def rows_of(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (kind, pa.int64(), pa.int32(), pa.string()))], ["doc_id", "gram", "place", "around"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = held.value
+        for batch in batches:
+            kind, rows = batch.schema.field(0).type, []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes = gram_codes(text)
+                for p in np.flatnonzero(marks[_cells(codes)]).tolist():
+                    low = max(p - reach, 0)
+                    rows.append((doc, int(codes[p]), p - low, text[low : p + reach + GRAM]))
+                    if len(rows) >= 2_000:
+                        yield rows_of(rows, kind)
+                        rows = []
+            if rows:
+                yield rows_of(rows, kind)
 
     return run
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edits at each place where not only the gram but its whole segment stands: some segment of every title that is found does."""
     for batch in batches:
         docs, titles, found = [], [], []
-        for doc, place, around, title, allowed, at in zip(*(batch.column(k).to_pylist() for k in range(6))):
+        for doc, place, around, title, allowed, a, b, at in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            low = place - (at - a)
+            if low < 0 or not around.startswith(title[a:b], low):
+                continue
             n = distance_at(title, around, place - at, allowed)
             if n <= allowed:
                 docs.append(doc)
@@ -108,22 +135,22 @@ def damaged_titles(texts: DataFrame, titles: DataFrame, damage: float = DAMAGE)
     """
     spark = texts.sparkSession
     kind, item = texts.schema["doc_id"].dataType.simpleString(), titles.schema["item_id"].dataType.simpleString()
-    named = stored(arrow_map(titles.where("title IS NOT NULL").select("item_id", "title"), _plain, f"item_id {item}, title string"), "titles")
+    named = stored(arrow_map(titles.select("item_id", "title"), _plain, f"item_id {item}, title string"), "titles")
     longest = named.agg(F.max(F.length("title"))).first()[0] or 0
-    every = stored(arrow_map(named.select("title").distinct(), _title_grams(damage), "title string, allowed int, part int, at int, gram long"), "grams")
+    every = stored(arrow_map(named.select("title").distinct(), _title_grams(damage), "title string, allowed int, part int, start int, stop int, at int, gram long"), "grams")
     cell = lambda rows: np.array([r[0] for r in rows.select(F.shiftrightunsigned("gram", 64 - 22)).distinct().collect()], np.int64)
-    clean = stored(arrow_map(spread(texts.where("text IS NOT NULL").select("doc_id", "text")), _plain, f"doc_id {kind}, text string"), "plain")
-    counted = arrow_map(clean, _scanned(spark.sparkContext.broadcast(_marks(cell(every))), 0, True), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
-    rarest = every.join(counted, "gram", "left").groupBy("title", "allowed", "part").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "at", "gram")).alias("least"))
+    clean = stored(arrow_map(spread(texts.select("doc_id", "text")), _plain, f"doc_id {kind}, text string"), "plain")
+    counted = arrow_map(clean, _counts(spark.sparkContext.broadcast(_marks(cell(every)))), "gram long, times long").groupBy("gram").agg(F.sum("times").alias("times"))
+    rarest = every.join(counted, "gram", "left").groupBy("title", "allowed", "part", "start", "stop").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "at", "gram")).alias("least"))
     # A segment whose rarest gram stands nowhere can't be the whole one.
-    chosen = stored(rarest.where("least.times > 0").select("title", "allowed", "least.at", "least.gram"), "rarest")
+    chosen = stored(rarest.where("least.times > 0").select("title", "allowed", "start", "stop", "least.at", "least.gram"), "rarest")
     reach = longest + 2 * errors_allowed(longest, damage)
-    places = stored(arrow_map(clean, _scanned(spark.sparkContext.broadcast(_marks(cell(chosen))), reach, False), f"doc_id {kind}, gram long, place int, around string"), "places")
+    places = stored(arrow_map(clean, _places(spark.sparkContext.broadcast(_marks(cell(chosen))), reach), f"doc_id {kind}, gram long, place int, around string"), "places")
     rows, signs = chosen.agg(F.count(F.lit(1)), F.sum(F.length("title"))).first()
     blocks, found = max(1, ceil(rows / BLOCK_ROWS), ceil((signs or 0) / BLOCK_SIGNS)), None
     for k in range(blocks):
         side = F.broadcast(chosen.where(F.pmod(F.xxhash64("title"), F.lit(blocks)) == k))
-        met = places.join(side, "gram").select("doc_id", "place", "around", "title", "allowed", "at")
+        met = places.join(side, "gram").select("doc_id", "place", "around", "title", "allowed", "start", "stop", "at")
         part = arrow_map(met, _checked, f"doc_id {kind}, title string, edits int")
         found = part if found is None else found.unionByName(part)
     least = found.groupBy("doc_id", "title").agg(F.min("edits").alias("edits"))

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sievemill.functions.damage import GRAM, distance_at, errors_allowed, plain, segments
@@ -96,3 +97,33 @@ def test_registered_query_against_all_pairs(spark, sf_dir):
                     want[doc, item] = n
     assert got == want and want
     assert damaged_titles(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, title string")).collect() == []
+
+
+def test_plain_takes_shortcuts_only():
+    """Texts with few wide signs go a shorter way, to the same result."""
+    import random
+    import unicodedata
+
+    from sievemill.functions.damage import _DASHED, _wide
+
+    rng = random.Random(9)
+    signs = [*"abfi st-\n", *_DASHED, *"\uFB00\uFB01\uFB05\uFB06\u0307\u0301\uFF21\u212B\u2460e\u1E9B\u0323\uAC00\u1100\u1161"]
+    for _ in range(3_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(12)))
+        assert _wide(text) == unicodedata.normalize("NFKC", text.translate(str.maketrans(_DASHED)))
+
+
+def test_texts_are_derived_once(spark, monkeypatch):
+    """No filter derives a text a second time, and a gram whose segment isn't whole costs no edit distance."""
+    plans, made = [], damaged.arrow_map
+    monkeypatch.setattr(damaged, "arrow_map", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or made(df, *a))
+    texts = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog again"), (2, None)], "doc_id long, text string")
+    titles = spark.createDataFrame([(7, "quick brown fox jumps over the lazy dog"), (8, None)], "item_id long, title string")
+    got = damaged_titles(texts.selectExpr("doc_id", "regexp_replace(text, 'x', 'x') AS text"), titles).collect()
+    assert [tuple(r) for r in got] == [(1, 7, 0)] and max(p.count("regexp_replace") for p in plans) == 1
+    seen: list = []
+    monkeypatch.setattr(damaged, "distance_at", lambda *a: seen.append(a) or 0)
+    names = ["doc_id", "place", "around", "title", "allowed", "start", "stop", "at"]
+    row = (1, 10, "xxxxxxxxxxick browx" + "y" * 40, "quick brown fox jumps over the lazy dog", 1, 0, 19, 2)
+    batch = pa.RecordBatch.from_pylist([dict(zip(names, row))])
+    assert sum(b.num_rows for b in damaged._checked(iter([batch]))) == 0 and not seen

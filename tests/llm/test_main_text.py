@@ -151,3 +151,22 @@ def test_articles_go_through_the_array(spark, monkeypatch, few):
     got = {r.page_id: r for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[k].n_quoted >= len(quote.split()) for k in (0, 1, 2, 3, 9)] == [True, True, False, False, False]
     assert all(got[k].text.endswith(quote) for k in (0, 1, 9)) and all(got[k].n_repeated > 0 for k in range(4)) and got[9].n_repeated == got[9].n_quoted == 0
+
+
+def test_the_array_decides_around_an_article(spark):
+    """In the main element what the host's pages share goes and what is a page's own stays; beside it own text goes too, and quotes in articles stay."""
+    lead = lambda k: f"lead{k} of a story that only this page {k} of the host tells"
+    page = lambda k: f"<nav>{' '.join(MENU)}</nav><main><h1>Heading{k} alone</h1><p>{lead(k)}</p><div>{NOTE}</div><article><p>{NOTE}</p><p>own{k} text</p></article><div>{NOTE}</div><aside>beside{k}</aside></main><div>outside{k} of it</div>"
+    rows = [(k, "http://h.example/x", page(k)) for k in range(8)] + [(9, "http://one.example/", page(9))]
+    got = {r.page_id: r for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].text == f"Heading{k} alone {lead(k)} {NOTE} own{k} text" and got[k].n_quoted >= len(NOTE.split()) for k in range(8))
+    # Alone on its host nothing repeats on another page.
+    assert got[9].text == f"Heading9 alone {lead(9)} {NOTE} {NOTE} own9 text {NOTE}"
+
+
+def test_own_blocks_of_near_copies_stay(spark):
+    """A near copy loses what all of its copies have in short blocks, and no short block of its own."""
+    near = "<p>" + " ".join(f"c{j}" for j in range(200)) + "</p><p>note of mine @</p><div>" + "</div><div>".join(MENU) + "</div>"
+    rows = [(k, f"https://a.example/copy{k}", near.replace("c5 ", f"d{k} ").replace("@", f"k{k}")) for k in range(3)]
+    for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert f"d{r.page_id} " in r.text and "c199" in r.text and f"note of mine k{r.page_id}" in r.text and "Our shop" not in r.text

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from sievemill import joins
 from sievemill.functions import term_counts
 from sievemill.functions.text import IDEOGRAPHS, terms
 from sievemill.operators import note_index
@@ -62,14 +63,16 @@ def test_scores_against_counting_by_hand(spark, tmp_path, monkeypatch, small, ki
     if small:
         for name, value in (("TEXT_BYTES", 40), ("SCORED_CELLS", 30), ("SCORED_QUESTIONS", 2), ("KNOWN_IDS", 0)):
             monkeypatch.setattr(note_index, name, value)
+        monkeypatch.setattr(joins, "FEW_ROWS", 0)
+        monkeypatch.setattr(joins, "HOT_ROWS", 3)
     rng = random.Random(3)
     key = (lambda k: k) if kind == "long" else (lambda k: f"n{k}")
     words = [f"wo{k:02d}" for k in range(30)] + ["rare", "sole"]
     text = lambda n: [rng.choice(words[:30]) for _ in range(n)]
     same = text(12)
     notes = [(key(k), rng.choice(["a", "b", None]), same if k % 3 == 0 else text(rng.randrange(20))) for k in range(90)]
-    notes += [(key(k), rng.choice(["a", "b", None]), text(4)) for k in range(0, 60, 7)] + [(key(200), "a", []), (key(200), None, []), (key(201), "b", ["rare"] * 50)]
-    asked = [(q, rng.choice(["a", "b", None, None, "none"]), text(rng.randrange(6))) for q in range(12)] + [(3, "a", ["rare", "wo01"]), (3, "b", ["rare", "wo02"]), (None, None, same), (50, None, ["rare", "unheard"])]
+    notes += [(key(k), rng.choice(["a", "b", None]), text(4)) for k in range(0, 60, 7)] + [(key(200), "a", []), (key(200), None, []), *[(key(202), "b", ["often", "wo03"])] * 5, (key(201), "b", ["rare"] * 50)]
+    asked = [(q, rng.choice(["a", "b", None, None, "none"]), text(rng.randrange(6))) for q in range(12)] + [(3, "a", ["rare", "wo01"]), (3, "b", ["rare", "wo02"]), (None, None, same), (50, None, ["rare", "unheard", "often"])]
     frame = lambda rows, schema: spark.createDataFrame([(a, b, " ".join(t)) for a, b, t in rows], schema).repartition(3)
     index, first = NoteIndex(spark, f"{tmp_path}/i"), [n for n in notes if n[0] not in {key(k) for k in range(0, 90, 5)}]
     schema = f"note_id {kind}, category string, text string"
@@ -87,3 +90,5 @@ def test_pairs_of_questions_and_notes_are_not_dealt(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(question_id") == 1 and "Exchange hashpartitioning(question_id#" in plan and "HashAggregate" not in plan
     assert found.count() == 35
+    unheard = spark.createDataFrame([(1, None, "unheard of"), (2, "c", None)], "question_id long, category string, text string")
+    assert index.search(unheard).collect() == []

@@ -25,8 +25,8 @@ K1, B = 1.2, 0.75
 ASKED_TERMS = 200_000
 #: Ids that are appended again up to which they go to every task.
 KNOWN_IDS = 1_000_000
-#: Bytes of text whose terms are counted at once; cells of a table of notes by terms, and questions that are scored at once.
-TEXT_BYTES, SCORED_CELLS, SCORED_QUESTIONS = 4_000_000, 1_000_000, 512
+#: Bytes of text whose terms are counted at once; notes, cells of a table of these by terms, and questions that are scored at once.
+TEXT_BYTES, SCORED_NOTES, SCORED_CELLS, SCORED_QUESTIONS = 2_000_000, 2_000, 1_000_000, 512
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +94,8 @@ def _scores(held, mean: float, top: int):
 
         # bars: the lowest scores with which a note of this task can still be among the best.
         asked = held.value | {"numbers": np.full(len(held.value["terms"]), -1, np.int64), "bars": np.full(len(held.value["ids"]), -1.0)}
-        for batch in batches:
-            ids, category, length, found = batch.columns
+        for part in (batch.slice(at, SCORED_NOTES) for batch in batches for at in range(0, batch.num_rows, SCORED_NOTES)):
+            ids, category, length, found = part.columns
             sizes = found.value_lengths().to_numpy(zero_copy_only=False)
             terms, times = found.flatten().flatten()
             term = pc.fill_null(pc.index_in(terms, value_set=asked["terms"]), -1).to_numpy(zero_copy_only=False).astype(np.int64)

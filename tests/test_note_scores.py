@@ -61,7 +61,7 @@ def by_hand(notes, asked, top):
 def test_scores_against_counting_by_hand(spark, tmp_path, monkeypatch, small, kind):
     """Several rows a note and a question, categories, equal notes, appended segments; also with the least that is scored at once."""
     if small:
-        for name, value in (("TEXT_BYTES", 40), ("SCORED_CELLS", 30), ("SCORED_QUESTIONS", 2), ("KNOWN_IDS", 0)):
+        for name, value in (("TEXT_BYTES", 40), ("SCORED_NOTES", 7), ("SCORED_CELLS", 30), ("SCORED_QUESTIONS", 2), ("KNOWN_IDS", 0)):
             monkeypatch.setattr(note_index, name, value)
         monkeypatch.setattr(joins, "FEW_ROWS", 0)
         monkeypatch.setattr(joins, "HOT_ROWS", 3)
